@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, tokens
+from . import decontamination, language_id, mixing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
+    "op6_language": language_id.op6_language,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op10_tokens": tokens.op10_tokens,
 }
