@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, language_id, mixing, sharding, simhash, tokens, toxicity
+from . import decontamination, embeddings, html, language_id, mixing, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_html": html.op5_html,
     "op6_language": language_id.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
