@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, html, language_id, mixing, sharding, simhash, tokens, toxicity
+from . import decontamination, embeddings, html, language_id, mixing, sharding, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_substrings": substrings.op2_substrings,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_html": html.op5_html,
