@@ -43,7 +43,10 @@ ROUNDS = 8
 CHUNK = 400_000
 FAR = 1 << 40
 SHIPPED = "bucket int, g1 long, g2 long, names binary, texts binary, pos binary"
-FLAGGED = "g1 long, g2 long, pos binary"
+SETTLED = "dest int, texts binary, pos binary"
+FLAGGED = "g1 long, g2 long, flags binary"
+#: In the place of positions: the text is to come back even with none.
+MARK = b"\xff\xff\xff\xff"
 U = np.uint64
 
 
@@ -171,34 +174,52 @@ def shipment(chunk: Chunk, names: np.ndarray, at: np.ndarray, buckets: int, mark
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in SHIPPED.split(", ")])
 
 
-def settle(parts: int):
-    """A bucket's rows to (g1, g2, pos): the places of names that stand twice or more, and what was settled before."""
+def settle(parts: int, buckets: int):
+    """A bucket's rows to (dest, texts, pos): the places of names that stand twice or more, and what was settled before, packed by where their texts gather."""
 
     def run(table: pa.Table) -> pa.Table:
-        g1, g2, pos = ([x for x in table.column(c).to_pylist()] for c in ("g1", "g2", "pos"))
-        out = [(a, b, p) for a, b, p in zip(g1, g2, pos, strict=True) if a is not None]
+        g1 = table.column("g1").to_pylist()
+        texts, places = [np.empty((0, 2), dtype=np.int64)], [np.empty(0, dtype="<i4")]
+        for i, (a, b, pos) in enumerate(zip(g1, table.column("g2").to_pylist(), table.column("pos"), strict=True)):
+            if a is not None:
+                at = np.frombuffer(pos.as_py() or MARK, dtype="<i4")
+                places.append(at)
+                texts.append(np.tile(np.array([[a, b]], dtype=np.int64), (len(at), 1)))
         packed = [i for i, a in enumerate(g1) if a is None]
         if packed:
             column = lambda c, kind, width: np.frombuffer(b"".join(table.column(c)[i].as_py() for i in packed), dtype=kind).reshape(-1, width)
-            names, texts, at = column("names", U, parts), column("texts", np.int64, 2), column("pos", "<i4", 1)[:, 0]
+            names, owner, at = column("names", U, parts), column("texts", np.int64, 2), column("pos", "<i4", 1)[:, 0]
             order = np.lexsort(names.T)
             names = names[order]
             new = np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1)))
             group = np.cumsum(new) - 1
             shared = np.bincount(group, weights=np.where(at[order] < 0, 2, 1)) > 1
             own = order[shared[group] & (at[order] >= 0)]
-            own = own[np.lexsort((at[own], texts[own, 1], texts[own, 0]))]
-            texts, at = texts[own], at[own]
-            if len(own):
-                cut = np.flatnonzero((texts[1:] != texts[:-1]).any(axis=1)) + 1
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(own)], strict=True):
-                    out.append((int(texts[a, 0]), int(texts[a, 1]), at[a:b].tobytes()))
+            texts.append(owner[own])
+            places.append(at[own])
+        texts, places = np.concatenate(texts), np.concatenate(places)
+        dest = texts[:, 0] % buckets
+        order = np.lexsort((places, texts[:, 1], texts[:, 0], dest))
+        texts, places, dest = texts[order], places[order], dest[order]
+        out = [(int(dest[a]), texts[a:b].tobytes(), places[a:b].tobytes()) for a, b in zip(*edges(dest), strict=True)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["g1", "g2", "pos"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["dest", "texts", "pos"])
 
     return run
 
 
+def gather(table: pa.Table) -> pa.Table:
+    """(dest, texts, pos) to a row a text."""
+    column = lambda c, kind, width: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), dtype=kind).reshape(-1, width)
+    texts, places = column("texts", np.int64, 2), column("pos", "<i4", 1)[:, 0]
+    order = np.lexsort((places, texts[:, 1], texts[:, 0]))
+    texts, places = texts[order], places[order]
+    cut = np.flatnonzero((texts[1:] != texts[:-1]).any(axis=1)) + 1
+    first, past = [0, *cut.tolist()], [*cut.tolist(), len(texts)]
+    flags = [(p := places[a:b])[p >= 0].tobytes() for a, b in zip(first, past, strict=True)]
+    return pa.table([pa.array(texts[first, 0]), pa.array(texts[first, 1]), pa.array(flags, pa.binary())], names=["g1", "g2", "flags"])
+
+
 def uncovered(chunk: Chunk, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
     """Whether a window that starts at the word holds none of the stretches."""
     n = len(chunk.words)
@@ -244,9 +265,8 @@ def ship_windows(window: int, buckets: int):
         for chunk, flags in chunks(batches, "flags"):
             _, first, lo, hi = closed_symbols(chunk.words, chunk.text, window)
             shared = np.zeros(len(chunk.words), bool)
-            for begin, parts in zip(chunk.begin[:-1], flags, strict=True):
-                for pos in parts:
-                    shared[begin + np.frombuffer(pos, dtype="<i4")] = True
+            for begin, pos in zip(chunk.begin[:-1], flags, strict=True):
+                shared[begin + np.frombuffer(pos, dtype="<i4")] = True
             alone = ~shared[first]
             at = np.flatnonzero(uncovered(chunk, lo[alone], hi[alone], window))
             yield shipment(chunk, window_names(chunk.words, at, window), at, buckets, np.zeros(0, int))
@@ -266,10 +286,9 @@ def cut(window: int):
                     kept = []
                 elif flags:
                     steps = np.zeros(len(words) + window + 1, dtype=np.int64)
-                    for pos in flags:
-                        at = np.frombuffer(pos, dtype="<i4")
-                        np.add.at(steps, at, 1)
-                        np.add.at(steps, at + window, -1)
+                    at = np.frombuffer(flags, dtype="<i4")
+                    np.add.at(steps, at, 1)
+                    np.add.at(steps, at + window, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(steps)[: len(words)] == 0).tolist()]
                 rest = b" ".join(kept)
                 sizes.append(len(words))
@@ -281,19 +300,21 @@ def cut(window: int):
     return run
 
 
-def flagged(shipped: DataFrame, parts: int) -> DataFrame:
-    """g1, g2, flags: the shared places of each text, as a list of packed positions."""
-    settled = shipped.groupBy("bucket").applyInArrow(settle(parts), FLAGGED)
-    return settled.groupBy("g1", "g2").agg(F.collect_list("pos").alias("flags"))
+def flagged(shipped: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """g1, g2, flags: the shared places of each text, packed."""
+    settled = shipped.groupBy("bucket").applyInArrow(settle(parts, buckets), SETTLED)
+    return settled.groupBy("dest").applyInArrow(gather, FLAGGED)
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(g1, g2, text, copies) of distinct texts to the same with flags: first words of repeated windows, packed."""
+    """(g1, g2, text, copies) of distinct texts to the same with flags: first words of repeated windows, packed.
+
+    All three uses of `texts` read the same columns, so Spark shuffles the texts once.
+    """
     buckets = common.partitions(texts.sparkSession)
-    own = texts.select("g1", "g2", "text")
-    symbols = flagged(own.mapInArrow(ship_symbols(window, buckets), SHIPPED), 1)
-    near = own.join(symbols, ["g1", "g2"])
-    windows = flagged(near.select("g1", "g2", "text", "flags").mapInArrow(ship_windows(window, buckets), SHIPPED), 2)
+    symbols = flagged(texts.mapInArrow(ship_symbols(window, buckets), SHIPPED), 1, buckets)
+    near = texts.join(symbols, ["g1", "g2"])
+    windows = flagged(near.mapInArrow(ship_windows(window, buckets), SHIPPED), 2, buckets)
     return texts.join(windows, ["g1", "g2"], "left")
 
 
