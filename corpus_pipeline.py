@@ -1,15 +1,57 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline over `documents`: language, near-duplicates, benchmark leaks, mixture, shards.
+
+Every stage reads what its predecessor kept. All but the last return the columns
+of documents; the last returns where each row goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidelog.llm import common, decontamination, language_id, mixing, sharding, simhash
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a language told from the labelled rows stay; texts without a letter or without a clear language go."""
+    return language_id.accepted(docs, language_id.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked SimHash fingerprints stays."""
+    return simhash.representatives(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a test item's shingles go."""
+    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents come as often as its target takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row; equal texts share a shard."""
+    return sharding.lpt_shards(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing to target weights", mixture),
+    ("sharding", shards),
+]
+
+#: SimHash components and heap scheduling have no SQL; tests/llm/ holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.written(docs)
     return docs

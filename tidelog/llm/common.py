@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -15,19 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder named by spark.checkpoint.dir, which all executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share.
 
-    The setting is taken from the session; only where it is unset (tests, a
-    laptop) does a temporary folder stand in.
+    Only where the setting is absent (tests, a laptop) does a temporary folder stand in.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder; for wide rows, which it holds compressed."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,6 +80,20 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total:
     return left.join(F.broadcast(hot), keys).unionByName(warm.join(cold, keys))
 
 
+def smallest(df: DataFrame, group: str, h: str, n: int) -> DataFrame:
+    """The rows with the n smallest values of a 64-bit hash in each group, ties by nothing else (equal hashes rank in any order).
+
+    The hash's leading 12 bits are counted first, so only the rows of the
+    leading cells, some n a group, are ranked; no task sees a whole hot group.
+    """
+    cell = F.shiftright(h, 52).cast("int")
+    counts = df.groupBy(group, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    last = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n).groupBy(group).agg(F.max("_cell").alias("_last"))
+    near = df.join(F.broadcast(last), group).where(cell <= F.col("_last")).drop("_last")
+    return near.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(h))).where(F.col("_nth") <= n).drop("_nth")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) long pairs -> (node, component): the smallest node each node reaches.
 

@@ -64,6 +64,15 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("b.hits").cast("long").alias("hits"), F.col("b.q").cast("long").alias("item_shingles"), F.col("b.c").alias("containment"))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that hold no test item; a text is judged once for all its rows."""
+    key = [k.alias(f"k{i}") for i, k in enumerate(common.text_key())]
+    texts = docs.select(F.struct(*key).alias("doc"), "text")
+    leaks = contained(texts, items, id_col="doc").select("doc.k0", "doc.k1").distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    return keyed.join(leaks.hint("shuffle_hash"), ["k0", "k1"], "left_anti").select("row.*")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
@@ -44,6 +44,8 @@ FAMILIES = {
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 DIM = 4096
 PER_LANGUAGE = 500
+#: Of a kept text in a pipeline; a toss-up between two languages inside a sure family has 0.5.
+LEAST_SCORE = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of longer characters stand, everything else is a space.
 KEEP = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], dtype=np.uint8)
@@ -149,8 +151,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from text and non-null lang of up to per_language documents a language, the first by a hash of id and text."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = known.select("lang", "h").distinct().withColumn("n", nth).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    last = common.smallest(known.select("lang", "h").distinct(), "lang", "h", per_language).groupBy("lang").agg(F.max("h").alias("last"))
     sample = known.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["lang", "h"])
     rows = sample.select("lang", "text").mapInArrow(vectors, "lang string, x binary").orderBy("lang", "x").collect()
     x = np.array([np.frombuffer(r[1], dtype=np.float32) for r in rows], dtype=np.float32).reshape(len(rows), DIM)
@@ -172,6 +173,20 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, whole, whose text has a language that is told with a score of `least` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                names, scores = sent.value.predict(part.column("text").to_pylist())
+                yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score; rows of the held-out fold are not learned from."""
     docs = docs.select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", folds) == held)

@@ -13,7 +13,7 @@ has target 0; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
@@ -44,12 +44,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return one.select("no_source", "source_name", "source_size", target.alias("target"))
 
 
+def placing(seed: str) -> list[Column]:
+    """size, no_source, source_name, and the 60-bit key that orders a document in its source."""
+    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), size.cast("string"))), 1, 15), 16, 10).cast("long")
+    return [size.alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_name"), key.alias("key")]
+
+
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """keep, size, source_size, target, taken (words, repeats counted), start (words of the epoch before it), cut (words of the last epoch's budget)."""
-    words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*keep, F.col("doc_id").alias("_id"), words.alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_name"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("size").cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = common.checkpointed(rows.withColumn("key", key).withColumn("range", F.shiftright("key", 60 - RANGE_BITS).cast("int")))
+    rows = docs.select(*keep, F.col("doc_id").alias("_id"), *placing(seed))
+    rows = common.checkpointed(rows.withColumn("range", F.shiftright("key", 60 - RANGE_BITS).cast("int")))
     ranges = rows.groupBy("no_source", "source_name", "range").agg(F.sum("size").alias("n"))
     wanted = targets(ranges.groupBy("no_source", "source_name").agg(F.sum("n").alias("source_size")), weights, share, most)
     before = Window.partitionBy("no_source", "source_name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,6 +68,23 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: str = "mix",
     return rows.select(*keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"), "start", "cut", "epochs")
 
 
+def mixed_rows(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    Whole documents only: each full epoch gives one row, and the last epoch goes
+    on to the document nearest its budget. Inside a source that is a bound on
+    the key, so only one small row a source meets the texts.
+    """
+    own = docs.select("doc_id", "source", "text")
+    plan = mix(own.withColumn("_key", placing(seed)[3]).withColumn("_none", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit(""))), ("_key", "_none", "_name"), seed, **shares)
+    taken = F.when((F.col("size") > 0) & (2 * F.col("start") + F.col("size") <= 2 * F.col("cut")), F.col("_key"))
+    bounds = common.checkpointed(plan.groupBy("_none", "_name").agg(F.count(F.lit(1)).alias("_n"), F.max("epochs").alias("_epochs"), F.max(taken).alias("_last")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_name"), placing(seed)[3].alias("_key"))
+    met = common.lookup(rows, bounds, ["_none", "_name"], "_n", bounds.agg(F.sum("_n")).first()[0] or 0)
+    times = F.col("_epochs") + F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False)).cast("long")
+    return met.withColumn("_t", times).where("_t > 0").withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), "_t"))).select("row.*")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

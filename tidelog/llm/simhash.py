@@ -172,6 +172,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     return out.select(F.col("doc").alias(id_col), "fp", "component_id")
 
 
+def representatives(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The rows of docs, one for each group: the smallest doc_id (nulls last), ties by text; of repeated rows one."""
+    key = common.text_key()
+    rows = common.checkpointed(fingerprints(docs.select("doc_id", *key, "text"), ["doc_id", "g1", "g2"]).withColumnRenamed("doc_id", "doc"))
+    rank = F.struct(F.col("doc").isNull().alias("no"), F.col("doc").alias("doc"), F.col("g1").alias("g1"), F.col("g2").alias("g2"))
+    distinct = common.checkpointed(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("least")))
+    member = common.components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    known = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    known = known.join(known.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "copies", "first")
+    told = common.checkpointed(common.lookup(rows, known, ["fp"], "copies", rows.count()).withColumn("stays", rank == F.col("first")))
+    gone = told.where("NOT stays").select("doc", "g1", "g2").distinct()
+    again = told.where("stays").groupBy("doc", "g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"), *[k.alias(f"k{i}") for i, k in enumerate(key)])
+    same = lambda t: (F.col("k0") == t["g1"]) & (F.col("k1") == t["g2"]) & F.col("d").eqNullSafe(t["doc"])
+    left = keyed.join(gone.hint("shuffle_hash"), same(gone), "left_anti")
+    if not again.isEmpty():  # equal rows of a kept document
+        left = left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["d", "k0", "k1"]))
+    return left.select("row.*")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
