@@ -67,6 +67,7 @@ class Page:
         self.text: list[str] = []
         self.link = 0
         self.linked = 0
+        self.aside: dict[int, tuple[list[str], int]] = {}  # text before an element inside a block that is left out
         stack = [0]
         at, raw = 0, source
         for m in TAG.finditer(source):
@@ -87,7 +88,9 @@ class Page:
                     at = end.start() if end else len(source) if tag in ("script", "style") else at
         if at < len(source):
             self.say(source[at:])
-        self.flush(stack[-1])
+        while len(stack) > 1:
+            self.pop_to(len(stack) - 1, stack)
+        self.flush(0)
 
     def say(self, text: str) -> None:
         self.text.append(text)
@@ -102,10 +105,9 @@ class Page:
             self.text, self.linked = [], 0
 
     def pop_to(self, depth: int, stack: list[int]) -> None:
+        self.pop_inline(depth + 1, stack)
         self.flush(stack[-1])
-        if any(self.tag[i] == "a" for i in stack[depth:]):
-            self.link = 0
-        del stack[depth:]
+        self.pop_inline(depth, stack)
 
     def open(self, tag: str, attributes: str, stack: list[int]) -> None:
         if tag in SPACED:
@@ -154,6 +156,9 @@ class Page:
         self.out.append(out)
         self.title.append(tag == "h1" and not out)
         stack.append(node)
+        if out and not self.out[parent] and tag not in BLOCKS:
+            self.aside[node] = self.text, self.linked
+            self.text, self.linked = [], 0
 
     def close(self, tag: str, stack: list[int]) -> None:
         if tag in VOID:
@@ -170,11 +175,14 @@ class Page:
             self.flush(stack[-1])
 
     def pop_inline(self, depth: int, stack: list[int]) -> None:
-        if any(self.tag[i] == "a" for i in stack[depth:]):
-            self.link = 0
-        if self.out[stack[depth]] and not self.out[self.parent[stack[depth]]]:
-            self.flush(stack[-1])  # what stands in a button is no part of the block around it
-        del stack[depth:]
+        """Leaves elements without ending the block; the text before one that is left out goes on after it."""
+        while len(stack) > depth:
+            node = stack.pop()
+            if self.tag[node] == "a":
+                self.link = 0
+            if node in self.aside:
+                self.flush(node)
+                self.text, self.linked = self.aside.pop(node)
 
     def path(self, node: int) -> str:
         names = []
