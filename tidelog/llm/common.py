@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import checkpointed, shared_dir  # noqa: F401  also for the operators
+
 #: A word, as every operator here reads one: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python's bytes.split() without arguments cuts at the same six characters.
@@ -16,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, which all executors share.
-
-    Only where the setting is absent (tests, a laptop) does a temporary folder stand in.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared folder; for wide rows, which it holds compressed."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

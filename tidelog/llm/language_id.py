@@ -150,7 +150,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from text and non-null lang of up to per_language documents a language, the first by a hash of id and text."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
+    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
     last = common.smallest(known.select("lang", "h").distinct(), "lang", "h", per_language).groupBy("lang").agg(F.max("h").alias("last"))
     sample = known.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["lang", "h"])
     rows = sample.select("lang", "text").mapInArrow(vectors, "lang string, x binary").orderBy("lang", "x").collect()

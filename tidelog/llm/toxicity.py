@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 from .language_id import fold
@@ -205,8 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: i
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     one = one.withColumn("h", F.xxhash64("doc_id"))
     totals = dict(one.groupBy("toxic").count().collect())
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    chosen = one.withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", "toxic")
+    chosen = common.smallest(one, "toxic", "h", per_label).select("doc_id", "toxic")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).dropDuplicates(["toxic", "text"])
     bag = common.checkpointed(sample.mapInArrow(bags, "doc_id long, toxic int, term string, n long"))
     n = {0: 0, 1: 0} | dict(bag.where("term = ''").groupBy("toxic").count().collect())
