@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import optional, scalars
-from tidelog.operators import assign, consensus, limits, locks, log_state, mvcc, ordered, ring, stack, vclock
+from tidelog.operators import assign, consensus, limits, locks, log_state, mvcc, ordered, pool, ring, stack, vclock
 
 SECOND = 1000
 
@@ -194,3 +194,17 @@ def test_scalars(spark):
         scalars.three_way(F.lit(1), F.lit(2)).alias("t"),
     ).first()
     assert tuple(row) == (-1569362854, 0, 2, 2, "10.0.0.1:80", "n-3", 0, -1)
+
+
+def test_pool(spark):
+    tasks = spark.createDataFrame([("p", i, 0, 10) for i in range(4)] + [("p", 4, 35, 1), ("q", 5, 7, 1)], "p string, seq long, at long, takes long")
+    got = [(r.worker, r.start_ms, r.waited_ms) for r in pool.schedule(tasks, "p", "at", "seq", "takes", 3).orderBy("seq").collect()]
+    assert got == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (0, 10, 10), (1, 35, 0), (0, 7, 0)]
+
+
+def test_state_machine_and_members(spark):
+    log = spark.createDataFrame([("n", i, i * 10, 2) for i in range(5)], "node string, i long, data long, commit long")
+    got = consensus.apply_committed(log, "node", "i", "data", "commit", lambda: 0, lambda s, a: (s + a[0], s + a[0]), "total", "long")
+    assert [r.total for r in got.orderBy("i").collect()] == [0, 10, 30]
+    joins = spark.createDataFrame([("a", 0), ("b", 0), ("c", 5)], "node string, at long")
+    assert consensus.members_at(joins, "node", "at", 4).count() == 2

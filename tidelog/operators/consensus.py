@@ -75,6 +75,16 @@ def entries_between(log: DataFrame, index: str, start: int, end: int | None = No
     return log.where((F.col(index) >= start) & (F.lit(True) if end is None else F.col(index) < end))
 
 
+def apply_committed(log: DataFrame, node: str, index: str, data: str, commit: str, start, step, out: str, kind) -> DataFrame:
+    """Committed entries (index up to the node's commit) with what a state machine, step(state, (data,)), answers to each in log order."""
+    return fold(log.where(F.col(index) <= F.col(commit)), [node], [index], [data], start, step, out, kind)
+
+
+def members_at(joins: DataFrame, node: str, joined_seq: str, seq: int) -> DataFrame:
+    """The cluster's members once the log has come to seq."""
+    return joins.where(F.col(joined_seq) <= seq).select(node).distinct()
+
+
 def _follower_start() -> tuple[int, int]:
     return 0, -1
 

@@ -61,7 +61,7 @@ def fold(df: DataFrame, key: list[str], order: list[str], args: list[str], start
     Rows are shuffled by key and sorted inside partitions, and stream through
     the task: only one key's state is in memory, never its history.
     """
-    schema = StructType(list(df.schema.fields)).add(out, kind)
+    schema = StructType(list(df.schema.fields)).add(out, kind if isinstance(kind, DataType) else DataType.fromDDL(kind))
     names = [*df.columns, out]
     sorted_ = df.repartition(*key).sortWithinPartitions(*key, *order)
     arrow = to_arrow_type(schema[out].dataType)

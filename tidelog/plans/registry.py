@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import optional, scalars
-from ..operators import assign, consensus, limits, locks, log_state, mvcc, ring, stack, vclock
+from ..operators import assign, consensus, limits, locks, log_state, mvcc, pool, ring, stack, vclock
 
 NOW_MS = 1_706_572_800_000
 DAY_MS = 86_400_000
@@ -388,3 +388,15 @@ def crc_audit(spark, sf_dir):
 @query("SELECT event_type, count(*) AS attempts FROM events GROUP BY ALL")
 def stack_attempts(spark, sf_dir):
     return stack.attempts(table(spark, sf_dir, "events"), "event_type")
+
+
+# --- worker pool --------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE b AS (SELECT event_id, user_id % 7 AS pool, epoch_us(ts) // 1000 AS t, 3600000 + event_id % 5 * 7200000 AS d, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT event_id, pool, rn, t AS start_ms, 0::BIGINT AS waited_ms, list_sort([t + d, 0, 0]::BIGINT[]) AS free FROM b WHERE rn = 1
+UNION ALL SELECT b.event_id, b.pool, b.rn, greatest(b.t, r.free[1]), greatest(b.t, r.free[1]) - b.t, list_sort([greatest(b.t, r.free[1]) + b.d, r.free[2], r.free[3]]) FROM r JOIN b ON b.pool = r.pool AND b.rn = r.rn + 1)
+SELECT event_id, pool, start_ms, waited_ms FROM r""")
+def pool_schedule(spark, sf_dir):
+    tasks = events(spark, sf_dir).select("event_id", (F.col("user_id") % 7).alias("pool"), "t", (F.col("event_id") % 5 * 7_200_000 + 3_600_000).alias("d"))
+    return pool.schedule(tasks, "pool", "t", "event_id", "d", 3).select("event_id", "pool", "start_ms", "waited_ms")
