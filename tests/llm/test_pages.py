@@ -53,6 +53,12 @@ def test_page_parts():
     assert main(PAGE.format(7)) == want
 
 
+def test_plain_divs():
+    page = """<body><div id=header><h1>Site</h1><ul class=mainMenu><li><a href=1>One</a></ul></div><table><tr><td class=left-rail>links</td>
+<td><div class=post-header><h1>Title</h1></div><div class="entry c{0}"><p>Paragraph one, of some length.<p>Paragraph two.</div><div class=threads>reader says no</div></td></tr></table><div class=googleads>x</div><div class=copyright>c</div>"""
+    assert main(page) == "Title\nParagraph one, of some length.\nParagraph two."
+
+
 def test_article_header_stays():
     page = "<body><header>Site</header><main><article><header><h1>Head</h1></header><p>Body text of the article.</p><section class='comments'><p>no</p></section></article></main><div role='complementary'>no</div><div hidden>no</div><div style='display: none'>no</div></body>"
     assert main(page) == "Head\nBody text of the article."

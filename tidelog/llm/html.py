@@ -50,8 +50,10 @@ IMPLIED = {
 OUT_TAGS = frozenset("head nav footer aside form button label fieldset dialog menu search".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies reply respond share sharing sharebar sidebar signup skyscraper social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar widget widgets".split()
+    "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising alert alerts announcement announcements aside banner breadcrumb breadcrumbs colophon comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus drawer footer gdpr googleads login masthead menu modal nav navbar navi navigation newsletter notice notices notification notifications offcanvas offer offers outbrain overlay pager pagination paywall popular popup promo promoted promotion rail recommendations recommended related replies reply respond responses share sharebar sharing sidebar sidenav signin signup skyscraper social sponsor sponsored sponsors subscribe subscription taboola tagline teaser teasers thread threads toolbar topbar trending ugc widget widgets".split()
 )
+#: A class or id with one of these is a page's header, unless it also has one of the second set or stands in an article.
+HEAD_WORDS, OWN_HEAD = frozenset("header hdr".split()), frozenset("article content entry post section story".split())
 NOT_OUT = frozenset("has with no without enabled page main content wrapper container".split())
 WHOLE = frozenset("html body main".split())
 LINKED = 0.6
@@ -134,8 +136,8 @@ class Page:
             self.link = 1
         parent, node = stack[-1], len(self.tag)
         name, out = tag, self.out[parent] or tag in RAW or tag in OUT_TAGS
-        inside = tag == "header" and any(self.tag[i] in ("article", "main") for i in stack)
-        if tag == "header" and not inside:
+        within = any(self.tag[i] in ("article", "main") for i in stack)
+        if tag == "header" and not within:
             out = True
         if attributes and (tag in BLOCKS or not out):
             got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
@@ -146,7 +148,7 @@ class Page:
                 out = role in OUT_ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in style
                 for label in (*classes, got.get("id", "")):
                     words = {w.lower() for w in WORDS.findall(label)}
-                    if words & OUT_WORDS and not words & NOT_OUT:
+                    if words & OUT_WORDS and not words & NOT_OUT or words & HEAD_WORDS and not words & (OWN_HEAD | NOT_OUT) and not within:
                         out = True
             if tag in CONTAINERS and classes:
                 name += "." + ".".join(sorted(re.sub(r"[0-9]+|[-_][a-zA-Z]*[0-9][a-zA-Z0-9]*$", "", c) for c in classes))
