@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substrings": substrings.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op9_embeddings": embeddings.OP9_SQL,
 }
