@@ -40,7 +40,9 @@ from . import common
 WINDOW = 35
 CLOSED = 5
 ROUNDS = 8
-CHUNK = 400_000
+CHUNK = 120_000
+#: Rows of a batch that are in hand as words at once.
+SLICE = 256
 FAR = 1 << 40
 SHIPPED = "bucket int, g1 long, g2 long, names binary, texts binary, pos binary"
 SETTLED = "dest int, texts binary, pos binary"
@@ -112,10 +114,18 @@ class Chunk:
         return np.arange(len(self.words)) + window <= self.begin[1:][self.text] if len(self.words) else np.zeros(0, bool)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[Chunk, list]]:
     """Rows (g1, g2, text[, extra]) as chunks of about CHUNK words; with extra, rows where it is null are left out."""
     keys, texts, more, held = [], [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         wanted = batch.column(extra).to_pylist() if extra else [None] * len(batch)
         for g1, g2, text, x in zip(batch.column("g1").to_pylist(), batch.column("g2").to_pylist(), batch.column("text").cast(pa.binary()), wanted, strict=True):
             if extra and x is None:
@@ -274,11 +284,11 @@ def ship_windows(window: int, buckets: int):
     return run
 
 
-def cut(window: int):
+def cut(window: int, with_text: bool):
     """(g1, g2, text, copies, flags) to what is left of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, removed, digests, left = [], [], [], []
             for text, copies, flags in zip(batch.column("text").cast(pa.binary()), batch.column("copies").to_pylist(), batch.column("flags").to_pylist(), strict=True):
                 words = kept = (text.as_py() or b"").split()
@@ -294,7 +304,7 @@ def cut(window: int):
                 sizes.append(len(words))
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest.decode() if len(kept) < len(words) else None)
+                left.append(rest.decode() if with_text and len(kept) < len(words) else None)
             yield pa.RecordBatch.from_arrays([batch.column("g1"), batch.column("g2"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())], ["g1", "g2", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
@@ -325,7 +335,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     texts = docs.select(*common.text_key(text_col), text.alias("text")).groupBy("g1", "g2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     done = repeated_windows(texts, window).select("g1", "g2", "text", "copies", "flags")
     schema = "g1 long, g2 long, n_words long, n_removed long, kept_sha256 string, kept string"
-    left = done.mapInArrow(cut(window), schema)
+    left = done.mapInArrow(cut(window, with_text), schema)
     left = common.checkpointed(left if with_text else left.drop("kept"))
     copies = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("copies"))
     rows = common.checkpointed(rows)
