@@ -5,8 +5,9 @@ In each of several tables a random orthonormal projection takes unit vectors to
 the vector's home cell. Each vector also probes, for either point, the
 neighbouring lattice point that is nearest. A pair is a candidate where one
 vector's home is the other's home or probe, and is verified by its cosine in
-double precision. For random pairs the recall is about 0.98 at a cosine of 0.93
-and 0.999 at 0.95; every link that is reported is exact.
+double precision. Over 20,000 random pairs of 64 dimensions at each cosine, the
+recall was 0.991 at 0.93, 0.995 at 0.94 and 0.999 at 0.95; every link that is
+reported is exact.
 
 Equal vectors of a label are one node with a weight. A pair that meets in
 several cells is counted in the first only, which both vectors' codes tell, so
