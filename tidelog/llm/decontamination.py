@@ -4,8 +4,9 @@ Test items are partitioned by their number of shingles. An item of q distinct
 shingles keeps as its sketch the m smallest shingle hashes, m fixed by the size
 partition so that m = q - ceil(t * q) + 1: a document that holds a share t of
 the item misses at most m - 1 of its shingles and so hits the sketch. Documents
-of any length are searched whole through that index, and what hits is verified
-by exact containment over all of the item's shingles. Nothing is approximate.
+of any length are searched whole through the sketches alone. Pairs that hit are
+candidates; their documents are read once more and verified by exact containment
+over all of the item's shingles. Nothing is approximate.
 
 Words are lower-cased (A-Z); a shingle is five words. An item of fewer words is
 one shingle of all its words.
@@ -23,7 +24,7 @@ from . import common
 
 WORDS = 5
 SHARE = 0.8
-#: The index of items is broadcast up to so many shingles (16 bytes each and more); beyond, it is joined by a shuffle.
+#: Sketches, the index of items and the candidate pairs are each broadcast up to so many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -47,20 +48,32 @@ def item_index(items: DataFrame, item_col: str, text_col: str, n: int = WORDS, s
     return one.withColumn("key", F.xxhash64("item", "hs")).select("item", "key", "width", "q", "need", F.posexplode("hs").alias("nth", "h")).withColumn("sketch", F.expr("nth < q - need + 1")).drop("nth")
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
-    """id_col, item_col, hits, item_shingles, containment: the pairs in which a document holds at least `share` of an item."""
-    index = common.checkpointed(item_index(items, item_col, item_text, n, share))
-    widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most n values
+def shared(texts: DataFrame, index: DataFrame, widths: list[int], n: int) -> DataFrame:
+    """(doc, h, key and what else index has): the shingles of texts (doc, text) that stand in index."""
     small = index.count() <= BROADCAST_ROWS
-    text = docs.select(F.col(id_col).alias("doc"), F.expr(words(text_col)).alias("w"))
+    text = texts.select("doc", F.expr(words("text")).alias("w"))
     found = None
     for k in widths or [n]:
         own = index.where(F.col("width") == k).drop("width")
         grams = text.select("doc", F.explode(F.expr(shingles("w", k))).alias("h"))
         hits = grams.join(F.broadcast(own) if small else own, "h")
         found = hits if found is None else found.unionByName(hits)
-    pairs = found.groupBy("doc", "item", "key").agg(F.max("sketch").alias("candidate"), F.countDistinct("h").alias("hits"), F.first("q").alias("q"), F.first("need").alias("need"))
-    best = pairs.where("candidate AND hits >= need").groupBy("doc", "item").agg(F.max(F.struct((F.col("hits") / F.col("q")).alias("c"), "hits", "q")).alias("b"))
+    return found
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
+    """id_col, item_col, hits, item_shingles, containment: the pairs in which a document holds at least `share` of an item."""
+    index = common.checkpointed(item_index(items, item_col, item_text, n, share))
+    widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most n values
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    candidates = common.checkpointed(shared(texts, index.where("sketch").select("width", "h", "key"), widths, n).select("doc", "key").distinct())
+    few = candidates.count() <= BROADCAST_ROWS
+    dealt = lambda right: F.broadcast(right) if few else right.hint("shuffle_hash")
+    # only texts with a candidate are read as words again, before anything is made of them
+    own = texts.alias("t").join(dealt(candidates.select("doc").distinct()).alias("c"), F.expr("t.doc <=> c.doc"), "left_semi")
+    hits = shared(own, index.drop("sketch"), widths, n).alias("t").join(dealt(candidates).alias("c"), F.expr("t.doc <=> c.doc AND t.key = c.key"), "left_semi")
+    pairs = hits.groupBy("doc", "item", "key").agg(F.countDistinct("h").alias("hits"), F.first("q").alias("q"), F.first("need").alias("need"))
+    best = pairs.where("hits >= need").groupBy("doc", "item").agg(F.max(F.struct((F.col("hits") / F.col("q")).alias("c"), "hits", "q")).alias("b"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("b.hits").cast("long").alias("hits"), F.col("b.q").cast("long").alias("item_shingles"), F.col("b.c").alias("containment"))
 
 
