@@ -368,6 +368,18 @@ def test_toxicity_odd_cases(spark, odd, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_rare_terms(spark):
+    """A word of a few toxic examples counts beside a very common one, and beside a longer one that begins like it."""
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    extra = lambda i: ["zzinsult"] * (i % 10 < 6) + ["vvslur"] * (i % 100 == 1) + ["zzi"] * (i % 40 == 3) if i % 2 else []
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(plain, k=12) + extra(i))) for i in range(2000)], "doc_id long, text string")
+    index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    for word in ("zzinsult", "vvslur", "zzi"):
+        assert index.score(f"{' '.join(plain[:8])} {word}", 7)[0] > 0.9, word
+    assert index.score(" ".join(plain[:8]), 7)[0] < 0.5
+
+
 def test_index_is_exact():
     """The blocks that the index skips hold no nearer entry."""
     import numpy as np

@@ -2,16 +2,16 @@
 
 Terms are whole words and the first three to eight letters of longer ones. The
 vocabulary is learned from the labelled sample: terms whose document counts
-differ between the labels by a log-likelihood ratio of at least `least_g2` and a
-twentieth of the strongest term's, at most `terms` of them; of terms that begin alike, the strongest stands for
-all. A term's frequency is its share of the words, on a log scale in quarter
+differ between the labels by a log-likelihood ratio of at least `least_g2`, at
+most `terms` of them; a beginning stands for the words that begin so, and is left
+out where a stronger term begins so. A term's frequency is its share of the words, on a log scale in quarter
 steps. A constant term stands beside them, so that texts without any such term
 are near each other rather than near nothing.
 
 Examples with equal vectors are one entry with its counts of either label. The
 index keeps postings in blocks of entries with each block's largest weight; a
-query visits blocks by falling upper bound and stops when no bound can beat its
-k-th neighbour, so the neighbours are exact. Their votes weigh by closeness and
+query scores the blocks of the highest upper bounds, and then all blocks whose
+bound reaches the k-th neighbour so far, so the neighbours are exact. Their votes weigh by closeness and
 by how much each label was thinned in the sample; a logistic curve fitted to the
 examples' own leave-one-out votes makes scores of them.
 
@@ -44,6 +44,7 @@ TERMS = 1500
 LEAST_G2 = 10.83
 NEIGHBOURS = 7
 BLOCK = 64
+FIRST = 2
 RATE = 200
 CONSTANT = 0.5
 CACHE = 500_000
@@ -59,12 +60,12 @@ def level(n: int, words: int) -> int:
 
 
 def strongest(ranked: list[tuple[str, float]], terms: int) -> dict[str, float]:
-    """The first terms of (term, idf), strongest first, of which none begins another."""
+    """The first terms of (term, idf), strongest first; no beginning beside a stronger term that begins so, no term beside a stronger beginning of it."""
     out: dict[str, float] = {}
     beginnings: set[str] = set()  # of all that stand, themselves included
     for term, idf in ranked:
         stem = term.rstrip("-")
-        if len(out) < terms and stem not in beginnings and not any(stem[:k] in out or f"{stem[:k]}-" in out for k in range(1, len(stem) + 1)):
+        if len(out) < terms and (stem == term or stem not in beginnings) and not any(f"{stem[:k]}-" in out for k in range(1, len(stem) + (stem != term))):
             out[term] = idf
             beginnings.update(stem[:k] for k in range(1, len(stem) + 1))
     return out
@@ -165,24 +166,33 @@ class Index:
         """The k entries of highest cosine, ties by entry number, and their cosines."""
         ids, x = self.vector(counts)
         bounds = x @ self.bounds[ids]
-        found, scores, least = [], [], -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if len(scores) >= k and bounds[b] < least - 1e-12:
-                break
-            first = b * BLOCK
-            part = np.zeros(min(BLOCK, len(self.docs) - first))
-            for t, q in zip(ids, x, strict=True):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if hi > lo:
-                    part[self.postings[t][0][lo:hi] - first] += q * self.postings[t][1][lo:hi]
-            found.extend(range(first, first + len(part)))
-            scores.extend(part)
-            if len(scores) >= k:
-                least = np.partition(scores, -k)[-k]
-        scores, found = np.array(scores), np.array(found, dtype=np.int64)
+        first = np.argsort(-bounds, kind="stable")[:FIRST]
+        part = self.cosines(ids, x, first)
+        least = np.partition(part, -k)[-k] if len(part) >= k else -1.0
+        left = np.sort(np.flatnonzero(bounds >= least - 1e-12))  # all blocks that can hold one of the k
+        found = np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.docs))) for b in left]) if len(left) < self.blocks else np.arange(len(self.docs))
+        scores = self.cosines(ids, x, left)
+        if len(scores) > k:
+            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+            found, scores = found[near], scores[near]
         top = np.lexsort((found, -scores))[:k]
         return found[top], scores[top]
 
+    def cosines(self, ids: list[int], x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Of all entries of the blocks, in the blocks' order; many blocks are read as whole postings."""
+        out = np.zeros(self.blocks * BLOCK)
+        for t, q in zip(ids, x, strict=True):
+            e, w = self.postings[t]
+            if 4 * len(blocks) > self.blocks:
+                out[e] += q * w
+            else:
+                for b in blocks:
+                    lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
+                    if hi > lo:
+                        out[e[lo:hi]] += q * w[lo:hi]
+        out = out.reshape(self.blocks, BLOCK)
+        return np.concatenate([out[b, : len(self.docs) - b * BLOCK] for b in blocks]) if len(blocks) < self.blocks else out.ravel()[: len(self.docs)]
+
     def score(self, text: str | None, k: int) -> tuple[float, list[int], list[str]]:
         """The calibrated score, the nearest examples' ids, and the text's own terms of the vocabulary."""
         if not len(self.docs):
@@ -215,7 +225,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: i
     g2 = " + ".join(f"if({o} > 0, {o} * ln({o} / ((a + b) * {side} / {float(n[0] + n[1])})), 0)" for o, side in (("a", float(max(n[1], 1e-9))), ("b", float(max(n[0], 1e-9)))))
     rest = " + ".join(f"if({side} - {o} > 0, ({side} - {o}) * ln(({side} - {o}) / (({n[0] + n[1]}.0 - a - b) * {side} / {float(n[0] + n[1])})), 0)" for o, side in (("a", float(n[1])), ("b", float(n[0]))))
     ranked = df.withColumn("g2", 2 * (F.expr(g2) + F.expr(rest))).where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), F.length(F.rtrim("term", F.lit("-"))).desc(), "term").limit(8 * terms).collect()
-    ranked = [r for r in ranked if r["g2"] >= ranked[0]["g2"] / 20]
     total = n[0] + n[1]
     idf = strongest([(r["term"], 1 + float(np.log((total + 1) / (r["a"] + r["b"] + 1)))) for r in ranked], terms)
     words = spark.createDataFrame([(t,) for t in idf] or [("",)], "term string")
