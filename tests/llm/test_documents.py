@@ -380,6 +380,14 @@ def test_toxicity_rare_terms(spark):
     assert index.score(" ".join(plain[:8]), 7)[0] < 0.5
 
 
+def test_toxicity_evidence_is_whole():
+    """All neighbours that vote and all terms of the text are returned."""
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    index = toxicity.Index({w: 2.0 for w in words}, [(i, i % 2, 30, [(words[i], 1)]) for i in range(26)], (1.0, 1.0))
+    _, neighbours, terms = index.score(" ".join(words), 7)
+    assert len(set(neighbours)) == 7 and terms == words
+
+
 def test_index_is_exact():
     """The blocks that the index skips hold no nearer entry."""
     import numpy as np

@@ -205,7 +205,7 @@ class Index:
             at, cosine = self.nearest(counts, k)
             a, b = self.curve
             share = 1 / (1 + np.exp(-np.clip(a * self.lean(cosine, self.votes[at]) + b, -30, 30)))
-            self.seen[key] = (float(share), self.docs[at[:5]].tolist(), [self.names[i] for i, _ in key][:20])
+            self.seen[key] = (float(share), self.docs[at].tolist(), [self.names[i] for i, _ in key])
         return self.seen[key]
 
 
