@@ -64,6 +64,24 @@ def test_article_header_stays():
     assert main(page) == "Head\nBody text of the article."
 
 
+def test_words_do_not_empty_a_page():
+    """A word of a class doesn't leave out the article or a wrapper of it; menus, comments and teasers beside it go."""
+    text = "<h1>Title</h1><p>Paragraph one, of some length.</p><p>Paragraph two.</p>"
+    want = "Title\nParagraph one, of some length.\nParagraph two."
+    for start, end in (
+        ("<article class='post category-social'>", "</article>"),
+        ("<article class='trending'>", "</article>"),
+        ("<div class='post tag-offers'>", "</div>"),
+        ("<div class='right-sidebar'>", "</div>"),
+        ("<div id='layout-sidebar-left'><div class='menu-on'><div class=x>", "</div></div></div>"),
+        ("<div class='comment-cookie'>", "</div>"),
+    ):
+        assert main(f"<body><nav>no</nav>{start}{text}{end}</body>") == want, start
+    extra = "<div class=sidebar><p>Some words.</p></div><article class=teaser><p>Another page's words.</p></article><div class=comments><p>" + "A long comment. " * 20 + "</p></div>"
+    assert main(f"<body><div class=right-sidebar><article>{text}</article>{extra}</div></body>") == want
+    assert main(f"<body><h1>Title</h1><p>Story.</p><div class='share'>Share it</div></body>") == "Title\nStory."
+
+
 def test_consensus_helps_a_lone_page(spark):
     """A short article whose own page would have another container win is read by its host's path."""
     usual = "<body><div class='content'><p>{}</p></div><div class='box'><p>other box</p></div></body>"

@@ -8,7 +8,11 @@ its own best container where it has none of them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and the
 like are told by tag, role and the words of class and id, and are left out
-wherever they stand; a header inside an article is part of it.
+wherever they stand; a header inside an article is part of it. Words alone don't
+leave out what holds most of the page's running text or its only h1, nor an
+article on a page without another, unless they never name one (adverts, comments,
+notices); where nothing would be left, they don't count at all. Classes like
+category-x and tag-x beside others say what a page is about and don't count.
 
 Defined cases: null and empty pages give the empty text; a null or odd url
 belongs to one host without a name; repeated rows are pages like any other;
@@ -52,6 +56,12 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 OUT_WORDS = frozenset(
     "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising alert alerts announcement announcements aside banner breadcrumb breadcrumbs colophon comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus drawer footer gdpr googleads login masthead menu modal nav navbar navi navigation newsletter notice notices notification notifications offcanvas offer offers outbrain overlay pager pagination paywall popular popup promo promoted promotion rail recommendations recommended related replies reply respond responses share sharebar sharing sidebar sidenav signin signup skyscraper social sponsor sponsored sponsors subscribe subscription taboola tagline teaser teasers thread threads toolbar topbar trending ugc widget widgets".split()
 )
+#: Of these, words that never name an article: what they mark is kept only where a page has no running text besides.
+NEVER_WORDS = frozenset(
+    "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus footer gdpr googleads login masthead newsletter notice notices notification notifications outbrain pager pagination paywall popup replies reply respond responses signin signup skyscraper subscribe subscription taboola ugc".split()
+)
+#: Classes that name what an article is about; they stand beside other classes.
+SUBJECT = re.compile(r"(?:category|categories|cat|tag|tags|topic|term)[-_]", re.I)
 #: A class or id with one of these is a page's header, unless it also has one of the second set or stands in an article.
 HEAD_WORDS, OWN_HEAD = frozenset("header hdr".split()), frozenset("article content entry post section story".split())
 NOT_OUT = frozenset("has with no without enabled page main content wrapper container".split())
@@ -65,6 +75,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.name, self.out, self.title = ["#"], [-1], [""], [False], [False]
+        self.marked: dict[int, bool] = {}  # left out by a word of class or id alone; whether the word never names an article
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.text: list[str] = []
         self.link = 0
@@ -93,6 +104,7 @@ class Page:
         while len(stack) > 1:
             self.pop_to(len(stack) - 1, stack)
         self.flush(0)
+        self.judge()
 
     def say(self, text: str) -> None:
         self.text.append(text)
@@ -146,10 +158,11 @@ class Page:
                 role = got.get("role", "").lower()
                 style = got.get("style", "").replace(" ", "").lower()
                 out = role in OUT_ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in style
-                for label in (*classes, got.get("id", "")):
+                about = [c for c in classes if SUBJECT.match(c)] if tag == "article" or not all(SUBJECT.match(c) for c in classes) else []
+                for label in (*(c for c in classes if c not in about), got.get("id", "")) if not out else ():
                     words = {w.lower() for w in WORDS.findall(label)}
                     if words & OUT_WORDS and not words & NOT_OUT or words & HEAD_WORDS and not words & (OWN_HEAD | NOT_OUT) and not within:
-                        out = True
+                        self.marked[len(self.tag)] = self.marked.get(len(self.tag), False) or not words.isdisjoint(NEVER_WORDS | HEAD_WORDS)
             if tag in CONTAINERS and classes:
                 name += "." + ".".join(sorted(re.sub(r"[0-9]+|[-_][a-zA-Z]*[0-9][a-zA-Z0-9]*$", "", c) for c in classes))
         self.tag.append(tag)
@@ -158,7 +171,7 @@ class Page:
         self.out.append(out)
         self.title.append(tag == "h1" and not out)
         stack.append(node)
-        if out and not self.out[parent] and tag not in BLOCKS:
+        if (out and not self.out[parent] or node in self.marked) and tag not in BLOCKS:
             self.aside[node] = self.text, self.linked
             self.text, self.linked = [], 0
 
@@ -186,6 +199,42 @@ class Page:
                 self.flush(node)
                 self.text, self.linked = self.aside.pop(node)
 
+    def judge(self) -> None:
+        """Leaves out what a word of class or id marks, but not a page's article or what holds it."""
+        if not self.marked:
+            return
+        hard, kept, titles = self.out, *self.weigh()
+        for lift in (frozenset(), frozenset(i for i, never in self.marked.items() if not never), frozenset(self.marked)):
+            free = set(lift)  # marked nodes that stay
+            while True:
+                self.out = list(hard)
+                top = []  # of marked nodes, the outermost
+                for node in range(1, len(self.tag)):
+                    if self.out[self.parent[node]]:
+                        self.out[node] = True
+                    elif node in self.marked and node not in free and not self.out[node]:
+                        self.out[node] = True
+                        top.append(node)
+                rest, left = self.weigh()
+                articles = any(self.tag[i] == "article" and not self.out[i] and rest[i] for i in range(1, len(self.tag)))
+                stay = [
+                    i
+                    for i in top
+                    if not self.marked[i] and (2 * kept[i] > kept[0] or (titles[i] and not left[0] and kept[i] > titles[i]) or (self.tag[i] == "article" and not articles and not self.within(i)))
+                ]
+                if not stay:
+                    break
+                free.update(stay)
+            if rest[0]:
+                break
+        self.title = [t and not o for t, o in zip(self.title, self.out, strict=True)]
+
+    def within(self, node: int) -> bool:
+        while (node := self.parent[node]) > 0:
+            if self.tag[node] == "article":
+                return True
+        return False
+
     def path(self, node: int) -> str:
         names = []
         while node > 0:
@@ -196,7 +245,7 @@ class Page:
 
     def weigh(self) -> tuple[list[int], list[int]]:
         """For each node: characters of running text in it, and h1 titles in it."""
-        kept, titles = [0] * len(self.tag), [int(t) for t in self.title]
+        kept, titles = [0] * len(self.tag), [int(t and not o) for t, o in zip(self.title, self.out, strict=True)]
         for node, text, linked in self.blocks:
             if not self.out[node]:
                 kept[node] += max(0, len(text) - (linked if linked < LINKED * len(text) else len(text)))
