@@ -349,6 +349,20 @@ def test_language_with_three_of_a_family(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
 
 
+def test_many_languages_are_kept(spark):
+    """How clear a text is doesn't fall with the number of languages, alone or of one family."""
+    import numpy as np
+
+    rng = random.Random(5)
+    for codes in ([f"q{i}" for i in range(45)], language_id.FAMILIES["germanic"].split() + [f"q{i}" for i in range(24)]):
+        letters = {c: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 4)) for c in codes}
+        text = lambda c: " ".join("".join(rng.choice(letters[c]) for _ in range(5)) for _ in range(60))
+        known = [(text(c), c) for c in codes for _ in range(20)]
+        model = language_id.Model(language_id.features([t for t, _ in known]), np.array([c for _, c in known], dtype=object))
+        rows = [(i, text(c), c, None, 0) for i, c in enumerate(codes * 3)]
+        assert language_id.accepted(spark.createDataFrame(rows, SCHEMA), model).count() >= 0.95 * len(rows)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")

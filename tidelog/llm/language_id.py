@@ -44,7 +44,7 @@ FAMILIES = {
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 DIM = 4096
 PER_LANGUAGE = 500
-#: Of a kept text in a pipeline; a toss-up between two languages inside a sure family has 0.5.
+#: Of how clear a kept text in a pipeline is; a toss-up between two languages inside a sure family has 0.5.
 LEAST_SCORE = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of longer characters stand, everything else is a space.
@@ -101,18 +101,20 @@ def pairwise(x: np.ndarray, y: np.ndarray) -> tuple[list[str], list]:
     return names, machines
 
 
-def shares(x: np.ndarray, names: list[str], machines: list) -> np.ndarray:
-    """Rows by classes: the mean of the pairwise probabilities of a class, adding up to 1."""
+def shares(x: np.ndarray, names: list[str], machines: list) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by classes: the mean of the pairwise probabilities of a class, adding up to 1, and the smallest of them, whatever the number of classes."""
     if len(names) == 1:
-        return np.ones((len(x), 1))
-    out = np.zeros((len(x), len(names)))
+        return np.ones((len(x), 1)), np.ones((len(x), 1))
+    out, least = np.zeros((len(x), len(names))), np.ones((len(x), len(names)))
     for a, b, w, bias, scale, shift in machines:
         p = 1 / (1 + np.exp(-np.clip(scale * (x @ w + bias) + shift, -30, 30)))
         out[:, a] += p
         out[:, b] += 1 - p
+        least[:, a] = np.minimum(least[:, a], p)
+        least[:, b] = np.minimum(least[:, b], 1 - p)
     if len(names) > 2:  # a class that wins all its pairs has all the mass
         out = np.maximum(out - (len(names) - 2) / 2, 1e-9) if len(names) < 4 else out**4
-    return out / out.sum(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True), least
 
 
 class Model:
@@ -122,22 +124,27 @@ class Model:
         self.inside = {f: pairwise(x[family == f], y[family == f]) for f in self.families[0]}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        return self.told(texts)[:2]
+
+    def told(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, scores, and how clear they are: the smallest pairwise probability of the family times that of the language."""
+        names, scores, clear = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         at = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         if not at or not self.families[0]:
-            return names, scores
+            return names, scores, clear
         x = features([texts[i] for i in at])
-        first = shares(x, *self.families)
+        first, sure = shares(x, *self.families)
         best = first.argmax(axis=1)
         for k, f in enumerate(self.families[0]):
             own = np.flatnonzero(best == k)
             if len(own):
                 langs = self.inside[f][0]
-                second = shares(x[own], *self.inside[f])
-                for i, j, s in zip(own, second.argmax(axis=1), second.max(axis=1), strict=True):
+                second, least = shares(x[own], *self.inside[f])
+                for n, (i, j, s) in enumerate(zip(own, second.argmax(axis=1), second.max(axis=1), strict=True)):
                     names[at[i]] = langs[j]
                     scores[at[i]] = float(min(1.0, first[i, k] * s))
-        return names, scores
+                    clear[at[i]] = float(sure[i, k] * least[n, j])
+        return names, scores, clear
 
 
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +183,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, whole, whose text has a language that is told with a score of `least` or more."""
+    """The rows of docs, whole, whose text has a language that is told as clearly as `least` or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                names, scores = sent.value.predict(part.column("text").to_pylist())
-                yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                names, _, clear = sent.value.told(part.column("text").to_pylist())
+                yield part.filter(pa.array([n != "und" and c >= least for n, c in zip(names, clear, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
