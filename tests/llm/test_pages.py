@@ -91,6 +91,21 @@ def test_consensus_helps_a_lone_page(spark):
     assert got[99].text == "short but here, some words" and got[99].path == "body>div.content"
 
 
+def test_article_in_parts(spark):
+    """All containers on a host's path count, and a lone page loses no running text."""
+    a, b = "first part of it " * 30, "second part of it " * 18
+    parts = {
+        "p": ("<body><article><p>{}</p></article>", "<article><p>{}</p></article></body>"),
+        "q": ("<body><div class=text><p>{}</p></div>", "<div class=text><p>{}</p></div></body>"),
+    }
+    rows = [(i, f"http://{h}.example/{i}", first.format(a)) for h, (first, _) in parts.items() for i in range(20)]
+    rows += [(99, f"http://{h}.example/x", first.format(a) + second.format(b)) for h, (first, second) in parts.items()]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 99").collect()
+    assert [r.text for r in got] == [f"{a.strip()}\n{b.strip()}"] * 2
+    assert main(f"<div class=text><h1>T</h1><p>{a * 3}</p></div><div class=text><p>{b}</p></div>") == f"T\n{(a * 3).strip()}\n{b.strip()}"
+    assert main(f"<div class=text><p>{a * 3}</p></div><div class=more><p>{b}</p></div>") == f"{(a * 3).strip()}\n{b.strip()}"
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "::", "<p>x"), (2, "", ""), (2, "", ""), (3, "http://a b/", "<div>" * 3000 + "deep"), (4, "http://a/", "<p>" + "w " * 200_000)]
     got = [(r.page_id, r.text[:4], r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]

@@ -3,8 +3,12 @@
 Each page is parsed and its containers scored; its best containers vote for
 their generalised paths (tags and classes from the body down, digits and hashes
 taken out). Votes are added up by host and path in Spark, and every page is
-extracted again from the first of its host's winning paths that it has, or from
-its own best container where it has none of them.
+extracted again from all its containers on the first of its host's winning paths
+that holds half of its running text, or from its own best where none does. For a
+vote, the containers of one name that hold seven tenths of the text around them
+are gone down into; a page's own best is its articles (or main) of one path with
+half of the text, or what holds all of it. A path wins with two pages' votes. What
+a page has beside its host's path, or its articles, is not main text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and the
 like are told by tag, role and the words of class and id, and are left out
@@ -254,45 +258,58 @@ class Page:
             titles[self.parent[node]] += titles[node]
         return kept, titles
 
-    def best(self) -> list[tuple[int, float]]:
-        """Containers that may hold the article, the likeliest first, with their scores."""
+    def best(self, hold: float = 1.0) -> list[tuple[tuple[int, ...], float]]:
+        """Containers (all on one path) that may hold the article, the likeliest first, with their scores; below the best lies `hold` of the text around."""
         kept, titles = self.weigh()
         if not kept[0]:
-            return [(0, 0.0)]
+            return [((0,), 0.0)]
         children: dict[int, list[int]] = {}
         for node in range(1, len(self.tag)):
             if not self.out[node]:
                 children.setdefault(self.parent[node], []).append(node)
         found = {}
         for weight, tags in ((1.0, ("article",)), (0.9, ("main",))):
-            nodes = [i for i in range(1, len(self.tag)) if self.tag[i] in tags and not self.out[i]]
-            if nodes and kept[top := max(nodes, key=lambda i: (kept[i], -i))] >= 0.5 * kept[0]:
-                found.setdefault(top, weight * kept[top] / kept[0])
-        node = 0
-        while True:  # down to the container that holds most of the text, unless a title would be lost
-            below = [i for i in children.get(node, ()) if kept[i] >= HOLDS * kept[node] and (titles[i] == titles[node] or titles[node] > 1)]
+            paths: dict[str, list[int]] = {}
+            for i in range(1, len(self.tag)):
+                if self.tag[i] in tags and kept[i] and not self.out[i]:
+                    paths.setdefault(self.path(i), []).append(i)
+            if paths:
+                group, inside = max(((tuple(g), sum(kept[i] for i in g)) for g in paths.values()), key=lambda x: (x[1], -x[0][0]))
+                if 2 * inside >= kept[0]:
+                    found.setdefault(group, weight * inside / kept[0])
+        node, group = 0, (0,)
+        while True:  # down to the containers of one name that hold the text, unless a title would be lost
+            names: dict[str, list[int]] = {}
+            for i in children.get(node, ()):
+                if kept[i] or titles[i]:
+                    names.setdefault(self.name[i], []).append(i)
+            below = [g for g in names.values() if sum(kept[i] for i in g) >= hold * kept[node] and (sum(titles[i] for i in g) == titles[node] or titles[node] > 1 and hold < 1)]
             if not below:
                 break
-            node = below[0]
-        while node and self.tag[node] not in CONTAINERS:
-            node = self.parent[node]
-        found.setdefault(node, 0.8)
+            if len(below[0]) > 1:
+                if self.tag[below[0][0]] in CONTAINERS:
+                    group = tuple(below[0])
+                break
+            node = below[0][0]
+            if self.tag[node] in CONTAINERS:
+                group = (node,)
+        found.setdefault(group, 0.8)
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
-    def at(self, path: str) -> int | None:
-        """The node on the path with the most running text."""
+    def at(self, path: str) -> tuple[int, ...] | None:
+        """All nodes on the path, if they hold half of the running text."""
         last = path.rpartition(">")[2]
-        nodes = [i for i in range(1, len(self.tag)) if self.name[i] == last and not self.out[i] and self.path(i) == path]
+        nodes = tuple(i for i in range(1, len(self.tag)) if self.name[i] == last and not self.out[i] and self.path(i) == path)
         if not nodes:
             return None
         kept = self.weigh()[0]
-        top = max(nodes, key=lambda i: (kept[i], -i))
-        return top if 2 * kept[top] >= kept[0] and kept[top] else None
+        inside = sum(kept[i] for i in nodes)
+        return nodes if 2 * inside >= kept[0] and inside else None
 
-    def main_text(self, node: int) -> str:
-        inside = [False] * len(self.tag)
+    def main_text(self, nodes: tuple[int, ...]) -> str:
+        inside, tops = [False] * len(self.tag), set(nodes)
         for i in range(len(self.tag)):
-            inside[i] = not self.out[i] and (i == node or (i > 0 and inside[self.parent[i]]))
+            inside[i] = not self.out[i] and (i in tops or (i > 0 and inside[self.parent[i]]))
         return "\n".join(text for i, text, linked in self.blocks if inside[i])
 
 
@@ -301,9 +318,9 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, path, vote = [], [], []
         for h, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(source or "")
-            for node, score in page.best():
+            for one, score in {page.path(nodes[0]): score for nodes, score in reversed(page.best(HOLDS))}.items():
                 host.append(h)
-                path.append(page.path(node))
+                path.append(one)
                 vote.append(round(1000 * score))
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(vote, pa.int64())], ["host", "path", "vote"])
 
@@ -314,13 +331,13 @@ def extractor(keep: list[str]):
             texts, used = [], []
             for source, paths in zip(batch.column("_html").to_pylist(), batch.column("_paths").to_pylist(), strict=True):
                 page = Page(source or "")
-                node = None
+                nodes = None
                 for path in paths or ():
-                    if (node := page.at(path)) is not None:
+                    if (nodes := page.at(path)) is not None:
                         break
-                node = page.best()[0][0] if node is None else node
-                texts.append(page.main_text(node))
-                used.append(page.path(node))
+                nodes = page.best()[0][0] if nodes is None else nodes
+                texts.append(page.main_text(nodes))
+                used.append(page.path(nodes[0]))
             out = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*out, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())], [*keep, "text", "n_chars", "path"])
 
@@ -333,7 +350,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_co
     host = F.lower(F.regexp_replace(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1), F.lit("")), r"^www\.", ""))
     rows = pages.select(*keep, host.alias("host"), F.col(html_col).alias("_html"))
     counted = rows.select("host", F.col("_html").alias("html")).mapInArrow(votes, "host string, path string, vote long")
-    sums = counted.groupBy("host", "path").agg(F.sum("vote").alias("vote"))
+    sums = counted.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.count(F.lit(1)).alias("voters")).where("voters > 1")  # one page is no consensus
     nth = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("vote"), "path"))
     won = sums.withColumn("nth", nth).where(F.col("nth") <= winners).groupBy("host").agg(F.expr("transform(array_sort(collect_list(struct(nth, path))), x -> x.path)").alias("_paths"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
