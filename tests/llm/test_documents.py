@@ -334,6 +334,10 @@ def test_language_odd_cases(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify(blank).collect()} == {"und"}
     assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", F.lit("xx"))).collect()} == {"xx", "und"}
     model = language_id.fit(read(spark))
+    assert model.predict(["½ ② Ⅷ ²", "٣", "ª", "🙂 _"])[0] == ["und", "und", model.predict(["ª"])[0][0], "und"] and model.predict(["ª"])[0] != ["und"]
+    same = spark.createDataFrame([(i, t, "en", None, 0) for i, t in [(None, "the same words"), (None, "the same words"), (7, "the same words"), (8, "long words " * 200_000)]], SCHEMA)
+    rows = language_id.predict(same, model, ["doc_id"]).collect()
+    assert len(rows) == 4 and len({(r.lang_pred, r.score) for r in rows if r.doc_id != 8}) == 1
     kept = language_id.accepted(odd, model)
     assert kept.columns == odd.columns and not {0, 1, 2} & {r.doc_id for r in kept.collect()}
     assert kept.where("doc_id = 11").count() == 1
@@ -351,14 +355,12 @@ def test_language_with_three_of_a_family(spark):
 
 def test_many_languages_are_kept(spark):
     """How clear a text is doesn't fall with the number of languages, alone or of one family."""
-    import numpy as np
-
     rng = random.Random(5)
     for codes in ([f"q{i}" for i in range(45)], language_id.FAMILIES["germanic"].split() + [f"q{i}" for i in range(24)]):
         letters = {c: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 4)) for c in codes}
         text = lambda c: " ".join("".join(rng.choice(letters[c]) for _ in range(5)) for _ in range(60))
         known = [(text(c), c) for c in codes for _ in range(20)]
-        model = language_id.Model(language_id.features([t for t, _ in known]), np.array([c for _, c in known], dtype=object))
+        model = language_id.fit(spark.createDataFrame([(i, t, c, None, 0) for i, (t, c) in enumerate(known)], SCHEMA))
         rows = [(i, text(c), c, None, 0) for i, c in enumerate(codes * 3)]
         assert language_id.accepted(spark.createDataFrame(rows, SCHEMA), model).count() >= 0.95 * len(rows)
 
@@ -380,44 +382,107 @@ def test_toxicity_odd_cases(spark, odd, none):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.toxicity(odd, labels.where("toxic = 1")).count() == odd.count()
     assert toxicity.toxicity(none, labels).count() == 0
+    clashing = labels.select("*", *[F.lit("clash").alias(c) for c in ("text", "h", "names", "words", "counts", "held_out", "score")])
+    assert sorted(map(str, toxicity.toxicity(odd, clashing).collect())) == sorted(map(str, got))
 
 
-def test_toxicity_rare_terms(spark):
-    """A word of a few toxic examples counts beside a very common one, and beside a longer one that begins like it."""
-    rng = random.Random(3)
+def toxic_corpus(rng, n):
+    """Half toxic: invented prose, with insults of very different frequency in the toxic ones."""
     plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
     extra = lambda i: ["zzinsult"] * (i % 10 < 6) + ["vvslur"] * (i % 100 == 1) + ["zzi"] * (i % 40 == 3) if i % 2 else []
-    docs = spark.createDataFrame([(i, " ".join(rng.choices(plain, k=12) + extra(i))) for i in range(2000)], "doc_id long, text string")
+    return plain, [(i, " ".join(rng.choices(plain, k=12) + extra(i))) for i in range(n)]
+
+
+def test_toxicity_rare_terms(spark):
+    """A word of a few toxic examples counts beside a very common one, and beside a longer one that begins like it."""
+    plain, rows = toxic_corpus(random.Random(3), 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
-    for word in ("zzinsult", "vvslur", "zzi"):
-        assert index.score(f"{' '.join(plain[:8])} {word}", 7)[0] > 0.9, word
-    assert index.score(" ".join(plain[:8]), 7)[0] < 0.5
+    texts = [f"{' '.join(plain[:8])} {word}" for word in ("zzinsult", "vvslur", "zzi")]
+    assert min(s for s, *_ in index.score(texts)) > 0.9
+    assert index.score([" ".join(plain[:8])])[0][0] < 0.5
 
 
-def test_toxicity_evidence_is_whole():
-    """All neighbours that vote and all terms of the text are returned."""
-    words = [f"word{chr(97 + i)}" for i in range(26)]
-    index = toxicity.Index({w: 2.0 for w in words}, [(i, i % 2, 30, [(words[i], 1)]) for i in range(26)], (1.0, 1.0))
-    _, neighbours, terms = index.score(" ".join(words), 7)
-    assert len(set(neighbours)) == 7 and terms == words
+def test_toxicity_equals_brute_force(spark):
+    """Scores, neighbours and evidence from all cosines with all examples, in plain Python; the curve is where its loss is least."""
+    import math
+
+    rng = random.Random(8)
+    plain, rows = toxic_corpus(rng, 700)
+    rows += [(1000, ""), (1001, rows[5][1]), (1002, rows[6][1].upper()), (1003, None)]
+    toxic = {i: i % 2 for i, _ in rows if i % 7}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    first = {}
+    for i, text in sorted(rows):
+        if i in toxic:
+            first.setdefault((toxic[i], text), i)
+    sample = {i: (y, Counter(re.findall(r"[^\W_]+", (t or "").lower()))) for (y, t), i in first.items()}
+    n, sides = len(sample), Counter(y for y, _ in sample.values())
+    held = {y: Counter(w for z, bag in sample.values() if z == y for w in bag) for y in (0, 1)}
+    idf, tells = {}, set()
+    for w in held[0] | held[1]:
+        df, g2 = held[0][w] + held[1][w], 0.0
+        for y in (0, 1):
+            for o, e in ((held[y][w], df * sides[y] / n), (sides[y] - held[y][w], (n - df) * sides[y] / n)):
+                g2 += 2 * o * math.log(o / e) if o else 0
+        idf[w] = (1 + math.log((n + 1) / (df + 1))) * (toxicity.FLOOR + math.sqrt(max(0, g2 - 10.83) / n))
+        tells |= {w} if g2 >= 10.83 else set()
+
+    def vector(bag):
+        x = {w: math.log1p(200 * c / sum(bag.values())) * idf[w] for w, c in bag.items() if w in idf}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {w: v / norm for w, v in x.items()}
+
+    vectors = {i: vector(bag) for i, (_, bag) in sample.items()}
+    thin = {y: sum(v == y for v in toxic.values()) / sides[y] for y in (0, 1)}
+
+    def lean(x, without=None):
+        near = sorted(((sum(v * vectors[i].get(w, 0) for w, v in x.items()), i) for i in vectors if i != without), reverse=True)[:7]
+        telling = math.sqrt(sum(v * v for w, v in x.items() if w in tells))
+        votes = {y: 0.1 + sum(math.sqrt(thin[y]) / (1.1 - min(c, 1)) ** 3 * max(telling, min(c, 1) ** 8) for c, i in near if c > 0 and sample[i][0] == y) for y in (0, 1)}
+        return math.log(votes[1] / votes[0]), [c for c, _ in near]
+
+    mass = sum(thin[y] for y, _ in sample.values())
+    (a, b), loss = index.curve, [0.0, 0.0]
+    for i, (y, _) in sample.items():
+        raw = lean(vectors[i], i)[0]
+        p = 1 / (1 + math.exp(-a * raw - b))
+        loss = [loss[0] + thin[y] / mass * (p - y) * raw, loss[1] + thin[y] / mass * (p - y)]
+    assert abs(loss[0] + 1e-3 * (a - 1)) < 1e-4 and abs(loss[1] + 1e-3 * b) < 1e-4
+    share = sides[1] * thin[1] / mass
+    got = toxicity.score(docs, index, ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        bag = Counter(re.findall(r"[^\W_]+", (dict(rows)[r.doc_id] or "").lower()))
+        x = vector(bag) if set(bag) & set(idf) else {}
+        if not x:
+            assert r.score == pytest.approx(share) and not r.neighbours
+            continue
+        raw, near = lean(x)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-a * raw - b)), abs=1e-6)
+        assert r.predicted == (r.score >= 0.5) and set(r.terms) == set(bag) & tells
+        assert sorted((sum(v * vectors[i].get(w, 0) for w, v in x.items()) for i in r.neighbours), reverse=True) == pytest.approx([c for c in near if c > 0])
 
 
 def test_index_is_exact():
-    """The blocks that the index skips hold no nearer entry."""
+    """The blocks that the index skips hold no nearer example, whether terms are common or rare."""
     import numpy as np
 
     rng = random.Random(6)
-    idf = {f"t{i}": 1 + rng.random() * 4 for i in range(30)}
-    examples = [(i, rng.randint(0, 1), 50, [(t, rng.randint(1, 4)) for t in rng.sample(sorted(idf), rng.randint(0, 6))]) for i in range(900)]
-    index = toxicity.Index(idf, examples, (1.0, 1.0))
-    dense = np.zeros((len(index.docs), len(index.names)))
-    for t, (e, x) in enumerate(index.postings):
-        dense[e, t] = x
-    for _ in range(60):
-        counts = {index.terms[t]: rng.randint(1, 8) for t in rng.sample(sorted(idf), rng.randint(0, 5))}
-        ids, x = index.vector(counts)
-        want = np.sort(dense[:, ids] @ x)[::-1][:7]
-        assert np.allclose(np.sort(index.nearest(counts, 7)[1])[::-1], want)
+    pick = lambda most: Counter(f"t{min(int(rng.expovariate(0.08)), 60)}" for _ in range(rng.randint(1, most)))
+    packed = lambda bag: (np.array([toxicity.name(w) for w in bag], dtype=np.uint64).tobytes(), np.array(list(bag.values()), dtype=np.uint32).tobytes())
+    bags = [pick(40) for _ in range(900)]
+    index = toxicity.Index([(i, rng.randint(0, 1), sum(b.values()), *packed(b)) for i, b in enumerate(bags)], (1.0, 1.0))
+    assert index.dense.shape[1] > 0 and len(index.entry)
+    ids, x = zip(*(index.vector(" ".join(b.elements()))[:2] for b in bags), strict=True)
+    dense = np.zeros((900, len(index.names)))
+    for i in range(900):
+        dense[i, ids[i]] = x[i]
+    for i, (at, cosine) in enumerate(index.nearest(list(ids[:150]), list(x[:150]), 7)):
+        want = dense @ dense[i]
+        assert np.allclose(cosine, np.sort(want)[::-1][:7]) and np.allclose(want[index.docs[at]], cosine)
 
 
 # --- tokens -------------------------------------------------------------------

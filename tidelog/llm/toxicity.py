@@ -1,38 +1,43 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are whole words and the first three to eight letters of longer ones. The
-vocabulary is learned from the labelled sample: terms whose document counts
-differ between the labels by a log-likelihood ratio of at least `least_g2`, at
-most `terms` of them; a beginning stands for the words that begin so, and is left
-out where a stronger term begins so. A term's frequency is its share of the words, on a log scale in quarter
-steps. A constant term stands beside them, so that texts without any such term
-are near each other rather than near nothing.
-
-Examples with equal vectors are one entry with its counts of either label. The
-index keeps postings in blocks of entries with each block's largest weight; a
-query scores the blocks of the highest upper bounds, and then all blocks whose
-bound reaches the k-th neighbour so far, so the neighbours are exact. Their votes weigh by closeness and
-by how much each label was thinned in the sample; a logistic curve fitted to the
-examples' own leave-one-out votes makes scores of them.
-
-The bounds are parameters: at most `per_label` examples of each label, `terms`
-terms. Scoring is one pass without a shuffle over every whole text.
-
-Defined cases: null and empty texts are scored as texts without terms; a null
-doc_id counts as the empty string in the fold and never meets a label; repeated
+Every word of an example is a term; no word is left out of a vector. A term's
+frequency is its share of the words on a log scale. Its inverse document
+frequency is scaled by how far the term tells the labels apart: the root of its
+log-likelihood ratio per example, as far as that exceeds `least_g2` (10.83, one
+in a thousand by chance for a single term), above a floor that all terms have.
+With the plain inverse document frequency the invented words of a topic outweigh
+the few toxic ones (README has the figures).
+
+The index keeps postings of all terms that are rare or tell the labels apart, and
+for common terms blocks of examples with each block's largest weight. A query
+adds up its postings, which bounds each block together with its largest weights
+of the common terms; the common terms are added in all blocks whose bound reaches
+the k-th neighbour so far, so the neighbours are exact. Their votes weigh by closeness, by how much of the text lies in terms that
+tell the labels apart, and by how much each label was thinned in the sample; a logistic curve fitted to the examples' own votes, each without
+itself, makes scores of them. Examples of cosine 0 don't vote.
+
+The one bound is a parameter: at most `per_label` examples of each label, whole
+texts, the first by a hash of their id. Scoring is one pass without a shuffle
+over every whole text.
+
+Defined cases: null, empty and wholly unknown texts get the toxic share of the
+labels as their score; ties between neighbours go to the lower example number,
+which depends on the sample alone; a null doc_id counts as the empty string in
+the fold and never meets a label; repeated rows are scored alike; repeated
 labels of a doc_id count as toxic if any is; null labels are not learned from;
 without any example every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import ctypes
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
@@ -40,208 +45,233 @@ from .language_id import fold
 
 TOKEN = re.compile(r"[^\W_]+")
 PER_LABEL = 3000
-TERMS = 1500
 LEAST_G2 = 10.83
+FLOOR = 0.01
 NEIGHBOURS = 7
 BLOCK = 64
-FIRST = 2
 RATE = 200
-CONSTANT = 0.5
-CACHE = 500_000
+#: A term that more than one in so many examples holds is common, unless it tells the labels apart.
+COMMON = 16
+#: Texts that are scored at once.
+BATCH = 64
+#: Words and texts whose answers are remembered in a task; both are only saved work.
+KNOWN_WORDS, KNOWN_TEXTS = 200_000, 20_000
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}-" for k in range(3, 9) if len(word) > k)]
+def frequency(n: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+    return np.log1p(RATE * n / np.maximum(1, words))
 
 
-def level(n: int, words: int) -> int:
-    """Term frequency, in quarters."""
-    return max(1, round(4 * math.log1p(RATE * n / max(1, words))))
+def words_of(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
 
 
-def strongest(ranked: list[tuple[str, float]], terms: int) -> dict[str, float]:
-    """The first terms of (term, idf), strongest first; no beginning beside a stronger term that begins so, no term beside a stronger beginning of it."""
-    out: dict[str, float] = {}
-    beginnings: set[str] = set()  # of all that stand, themselves included
-    for term, idf in ranked:
-        stem = term.rstrip("-")
-        if len(out) < terms and (stem == term or stem not in beginnings) and not any(f"{stem[:k]}-" in out for k in range(1, len(stem) + (stem != term))):
-            out[term] = idf
-            beginnings.update(stem[:k] for k in range(1, len(stem) + 1))
-    return out
+def name(word: str) -> int:
+    """64 bits that stand for a word."""
+    return xxhash.xxh64_intdigest(word)
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, text) to (toxic, doc_id, term, n)."""
+    """(doc_id, toxic, text) to (doc_id, toxic, words, names, counts), names and counts packed."""
     for batch in batches:
-        for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-            bag: Counter[str] = Counter()
-            for word, n in Counter(TOKEN.findall((text or "").lower())).items():
-                for term in terms_of(word):
-                    bag[term] += n
-            bag[""] = len(TOKEN.findall((text or "").lower()))  # texts without a word are examples too
-            k = len(bag)
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * k, pa.int64()), pa.array([toxic] * k, pa.int32()), pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int64())], ["doc_id", "toxic", "term", "n"])
+        words, names, counts = [], [], []
+        for text in batch.column("text").to_pylist():
+            all_words = words_of(text)
+            bag = Counter(all_words)
+            words.append(len(all_words))
+            names.append(np.array([name(w) for w in bag], dtype=np.uint64).tobytes())
+            counts.append(np.array(list(bag.values()), dtype=np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "words", "names", "counts"])
+
+
+def ratio(a: np.ndarray, b: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    """Log-likelihood ratio of terms in a of n[1] toxic and b of n[0] other examples."""
+    total, out = sum(n), np.zeros(len(a))
+    for seen, side in ((a, n[1]), (b, n[0])):
+        for x, expected in ((seen, (a + b) * side / total), (side - seen, (total - a - b) * side / total)):
+            some = x > 0
+            out[some] += x[some] * np.log(x[some] / expected[some])
+    return 2 * out
+
+
+def stretches(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for each stretch in turn."""
+    past = np.cumsum(length)
+    return np.arange(past[-1] if len(past) else 0) + np.repeat(begin - past + length, length)
+
+
+def keep_pages() -> None:
+    """Lets glibc keep freed arrays of some 100 KB to 4 MB; else their pages are mapped anew each time, which costs more than the sums."""
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+
+
+def logistic(x: np.ndarray, toxic: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of least loss, with a small pull towards the plain curve."""
+    mass, x, w = mass / mass.sum(), np.stack((x, np.ones(len(x))), axis=1), np.array([1.0, 0.0])
+    for _ in range(50):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (mass * (p - toxic)) + 1e-3 * (w - (1.0, 0.0))
+        bend = (x * (mass * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(bend, slope), -1, 1)
+    return max(0.1, float(w[0])), float(w[1])
 
 
 class Index:
-    """Entries (distinct example vectors) in blocks, with postings and block maxima by term."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, int, list[tuple[str, int]]]], weight: tuple[float, float]):
-        self.terms = {t: i + 1 for i, t in enumerate(sorted(idf))}  # 0 is the constant term
-        self.names = ["", *sorted(idf)]
-        self.idf = np.array([CONSTANT, *(idf[t] for t in sorted(idf))])
-        entries: dict[tuple, list[float]] = {}
-        for doc, toxic, words, bag in sorted(examples):
-            ids = tuple(sorted((self.terms[t], level(n, words)) for t, n in bag if t in self.terms))
-            e = entries.setdefault(ids, [0.0, 0.0, doc])
-            e[toxic] += weight[toxic]
-        order = sorted(entries, key=lambda ids: ([i for i, _ in ids], ids))  # like vectors in like blocks, which keeps bounds low
-        self.votes = np.array([entries[k][:2] for k in order]).reshape(len(order), 2)
-        self.docs = np.array([entries[k][2] for k in order], dtype=np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.names]
-        for e, ids in enumerate(order):
-            for t, x in zip(*self.vector(dict(ids)), strict=True):
-                postings[t].append((e, x))
-        self.postings = [(np.array([e for e, _ in p], dtype=np.int64), np.array([x for _, x in p])) for p in postings]
-        self.bounds = np.zeros((len(self.names), self.blocks))
-        self.cuts = []
-        for t, (e, x) in enumerate(self.postings):
-            np.maximum.at(self.bounds[t], e // BLOCK, x)
-            self.cuts.append(np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK))
-        self.seen: dict[tuple, tuple] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+    """Examples in blocks. Postings of the terms that are rare or tell the labels apart; common terms as dense blocks with each block's largest weight."""
+
+    def __init__(self, examples: list[tuple[int, int, int, bytes, bytes]], weight: tuple[float, float], least_g2: float = LEAST_G2):
+        """examples: (doc_id, toxic, words, names, counts), in an order that depends on them alone."""
+        n = len(examples)
+        toxic = np.array([e[1] for e in examples], dtype=np.int64)
+        sizes = np.array([len(e[3]) // 8 for e in examples], dtype=np.int64)
+        owner = np.repeat(np.arange(n), sizes)
+        self.names, term = np.unique(np.frombuffer(b"".join(e[3] for e in examples), dtype=np.uint64), return_inverse=True)
+        counts = np.frombuffer(b"".join(e[4] for e in examples), dtype=np.uint32)
+        yes, df = np.bincount(term, toxic[owner], len(self.names)), np.bincount(term, minlength=len(self.names))
+        labels = int((toxic == 0).sum()), int((toxic == 1).sum())
+        g2 = ratio(yes, df - yes, labels) if n else np.zeros(0)
+        self.tells = g2 >= least_g2
+        self.idf = (1 + np.log((n + 1) / (df + 1))) * (FLOOR + np.sqrt(np.maximum(0, g2 - least_g2) / max(1, n)))
+        x = frequency(counts, np.array([e[2] for e in examples], dtype=np.int64)[owner]) * self.idf[term]
+        x /= np.sqrt(np.bincount(owner, x * x, n))[owner]
+        # like vectors in like blocks, which keeps bounds low: by the term of most weight, then by that weight
+        heaviest = np.lexsort((x, owner))[np.cumsum(sizes)[sizes > 0] - 1]
+        lead, most = np.full(n, -1), np.zeros(n)
+        lead[owner[heaviest]], most[owner[heaviest]] = term[heaviest], x[heaviest]
+        order = np.lexsort((np.arange(n), -most, lead))
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        self.docs = np.array([e[0] for e in examples], dtype=np.int64)[order]
+        self.toxic = toxic[order]
+        self.votes = np.sqrt(np.array(weight))[self.toxic] if n else np.zeros(0)
+        self.share = float(np.dot(labels, (0.0, weight[1])) / max(1e-12, np.dot(labels, weight)))
+        self.blocks = -(-n // BLOCK)
+        entry = place[owner]
+        common_term = (df > n / COMMON) & ~self.tells
+        self.column = np.where(common_term, np.cumsum(common_term) - 1, -1)
+        dense = np.zeros((int(common_term.sum()), self.blocks * BLOCK))
+        own = common_term[term]
+        dense[self.column[term[own]], entry[own]] = x[own]
+        self.dense = np.ascontiguousarray(dense.reshape(len(dense), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.bounds = self.dense.max(axis=2, initial=0.0).T  # common terms by blocks
+        by = np.flatnonzero(~own)[np.lexsort((entry[~own], term[~own]))]
+        self.entry, self.value = entry[by], x[by]
+        self.begin = np.searchsorted(term[by], np.arange(len(self.names) + 1))
+        self.seen: dict[bytes, tuple] = {}
+        self.words: dict[str, int] = {}
         self.curve = (1.0, 0.0)
-        if self.votes.sum(axis=0).all():
-            self.calibrate(order, weight)
-
-    def calibrate(self, order: list[tuple], weight: tuple[float, float], k: int = NEIGHBOURS) -> None:
-        """Fits the curve: each example's votes are cast without its own."""
-        raw, goal, mass = [], [], []
-        for e, ids in enumerate(order):
-            at, cosine = self.nearest(dict(ids), k)
-            for y in (0, 1):
-                if self.votes[e, y] > 0:
-                    votes = self.votes[at].copy()
-                    votes[at == e, y] -= weight[y]
-                    raw.append(self.lean(cosine, np.maximum(votes, 0)))
-                    goal.append(y)
-                    mass.append(self.votes[e, y])
-        raw, goal, mass = np.array(raw), np.array(goal), np.array(mass) / sum(mass)
-        x, w = np.stack((raw, np.ones(len(raw))), axis=1), np.array([1.0, 0.0])
-        for _ in range(50):  # Newton steps, with a small pull towards the plain curve
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (mass * (p - goal)) + 1e-3 * (w - (1.0, 0.0))
-            bend = (x * (mass * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-            w = w - np.clip(np.linalg.solve(bend, slope), -1, 1)
-        self.curve = (max(0.1, float(w[0])), float(w[1]))
-
-    @staticmethod
-    def lean(cosine: np.ndarray, votes: np.ndarray) -> float:
-        """Log odds of the toxic votes, weighed by closeness; a tenth of a far vote stands on either side."""
-        near = (1 / (1.01 - np.minimum(cosine, 1.0)) ** 3)[:, None] * np.sqrt(votes)
-        no, yes = near.sum(axis=0) + 0.1
-        return float(np.log(yes / no))
-
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        ids = [0, *sorted(counts)]
-        x = np.array([1.0, *(counts[i] / 4 for i in ids[1:])]) * self.idf[ids]
-        return ids, x / np.sqrt((x * x).sum())
-
-    def query(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        words = TOKEN.findall((text or "").lower())
-        for word, n in Counter(words).items():
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) > CACHE:
-                    self.words.clear()
-                ids = self.words[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return {i: level(n, len(words)) for i, n in out.items()}
-
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of highest cosine, ties by entry number, and their cosines."""
-        ids, x = self.vector(counts)
-        bounds = x @ self.bounds[ids]
-        first = np.argsort(-bounds, kind="stable")[:FIRST]
-        part = self.cosines(ids, x, first)
-        least = np.partition(part, -k)[-k] if len(part) >= k else -1.0
-        left = np.sort(np.flatnonzero(bounds >= least - 1e-12))  # all blocks that can hold one of the k
-        found = np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.docs))) for b in left]) if len(left) < self.blocks else np.arange(len(self.docs))
-        scores = self.cosines(ids, x, left)
-        if len(scores) > k:
-            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-            found, scores = found[near], scores[near]
-        top = np.lexsort((found, -scores))[:k]
-        return found[top], scores[top]
-
-    def cosines(self, ids: list[int], x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Of all entries of the blocks, in the blocks' order; many blocks are read as whole postings."""
-        out = np.zeros(self.blocks * BLOCK)
-        for t, q in zip(ids, x, strict=True):
-            e, w = self.postings[t]
-            if 4 * len(blocks) > self.blocks:
-                out[e] += q * w
-            else:
-                for b in blocks:
-                    lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                    if hi > lo:
-                        out[e[lo:hi]] += q * w[lo:hi]
-        out = out.reshape(self.blocks, BLOCK)
-        return np.concatenate([out[b, : len(self.docs) - b * BLOCK] for b in blocks]) if len(blocks) < self.blocks else out.ravel()[: len(self.docs)]
-
-    def score(self, text: str | None, k: int) -> tuple[float, list[int], list[str]]:
-        """The calibrated score, the nearest examples' ids, and the text's own terms of the vocabulary."""
+        if all(labels):
+            by = np.argsort(entry, kind="stable")
+            self.calibrate(np.split(term[by], np.cumsum(sizes[order])[:-1]), np.split(x[by], np.cumsum(sizes[order])[:-1]), weight)
+
+    def calibrate(self, ids: list[np.ndarray], x: list[np.ndarray], weight: tuple[float, float], k: int = NEIGHBOURS) -> None:
+        """Fits the curve: each example's neighbours vote without itself."""
+        raw = np.zeros(len(self.docs))
+        for first in range(0, len(self.docs), BATCH):
+            for e, (at, cosine) in enumerate(self.nearest(ids[first : first + BATCH], x[first : first + BATCH], k + 1), first):
+                other = at != e
+                raw[e] = self.lean(ids[e], x[e], at[other][:k], cosine[other][:k])
+        self.curve = logistic(raw, self.toxic, np.array(weight)[self.toxic])
+
+    def lean(self, ids: np.ndarray, x: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> float:
+        """Log odds of the toxic votes; a tenth of a far vote stands on either side.
+
+        A vote weighs by closeness, and by the share of the query's length that
+        lies in terms that tell the labels apart, or by the 8th power of the cosine if
+        that is more: nearly the same text counts whatever its words.
+        """
+        telling = float(np.sqrt((x * x) @ self.tells[ids]))
+        near = self.votes[at] / (1.1 - np.minimum(cosine, 1.0)) ** 3 * np.maximum(telling, np.clip(cosine, 0, 1) ** 8) * (cosine > 0)
+        return float(np.log((near @ self.toxic[at] + 0.1) / (near @ (1 - self.toxic[at]) + 0.1)))
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Terms of the text that an example holds, their weights, and those of them that tell the labels apart."""
+        words = words_of(text)
+        bag = Counter(words)
+        if len(self.words) > KNOWN_WORDS:
+            self.words.clear()
+        ids = list(map(self.words.get, bag))
+        if None in ids:
+            new = [w for w in bag if w not in self.words]
+            names = np.array([name(w) for w in new], dtype=np.uint64)
+            at = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
+            there = self.names[at] == names if len(self.names) else np.zeros(len(new), bool)
+            self.words.update(zip(new, np.where(there, at, -1).tolist(), strict=True))
+            ids = list(map(self.words.get, bag))
+        ids, n = np.array(ids, dtype=np.int64), np.fromiter(bag.values(), dtype=np.float64, count=len(bag))
+        known = ids >= 0
+        distinct, at = list(bag), np.flatnonzero(known)
+        ids, n = ids[known], n[known]
+        terms = [distinct[i] for i in at[self.tells[ids]].tolist()]
+        x = frequency(n, len(words)) * self.idf[ids]
+        return ids, x / np.sqrt((x * x).sum()) if len(x) else x, terms
+
+    def nearest(self, ids: list[np.ndarray], x: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of highest cosine, ties by number, and their cosines."""
+        scores, often = np.zeros((len(ids), self.blocks * BLOCK)), np.zeros((len(ids), len(self.bounds)))
+        for i, (own, w) in enumerate(zip(ids, x, strict=True)):
+            column = self.column[own]
+            dense = column >= 0
+            often[i, column[dense]] = w[dense]
+            length = self.begin[own + 1] - self.begin[own]  # none of common terms
+            at = stretches(self.begin[own], length)
+            scores[i] = np.bincount(np.take(self.entry, at), np.repeat(w, length) * np.take(self.value, at), scores.shape[1])
+        # what stands so far is a least value; a block whose bound lies below the k-th of them holds no neighbour
+        least = np.partition(scores[:, : len(self.docs)], -k, axis=1)[:, -k] if len(self.docs) >= k else np.zeros(len(ids))
+        open_ = scores.reshape(len(ids), self.blocks, BLOCK).max(axis=2) + often @ self.bounds >= least[:, None] - 1e-9
+        for b in range(self.blocks):
+            some = np.flatnonzero(open_[:, b])
+            if len(some):
+                scores[some, b * BLOCK : (b + 1) * BLOCK] += often[some] @ self.dense[b]
+        out = []
+        for own in scores[:, : len(self.docs)]:
+            found = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+            top = found[np.lexsort((found, -own[found]))[:k]]
+            out.append((top, own[top]))
+        return out
+
+    def score(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[str]]]:
+        """For each text the calibrated score, the ids of the nearest examples, and its terms that tell the labels apart."""
         if not len(self.docs):
-            return 0.0, [], []
-        counts = self.query(text)
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            at, cosine = self.nearest(counts, k)
-            a, b = self.curve
-            share = 1 / (1 + np.exp(-np.clip(a * self.lean(cosine, self.votes[at]) + b, -30, 30)))
-            self.seen[key] = (float(share), self.docs[at].tolist(), [self.names[i] for i, _ in key])
-        return self.seen[key]
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: int = TERMS, least_g2: float = LEAST_G2) -> Index:
+            return [(0.0, [], [])] * len(texts)
+        keys = [xxhash.xxh128_digest(t or "") for t in texts]
+        if len(self.seen) > KNOWN_TEXTS:
+            self.seen.clear()
+        new = {key: t for key, t in zip(keys, texts, strict=True) if key not in self.seen}
+        got = {key: self.vector(t) for key, t in new.items()}
+        self.seen.update({key: (self.share, [], []) for key, v in got.items() if not len(v[0])})
+        got = {key: v for key, v in got.items() if len(v[0])}
+        a, b = self.curve
+        for (key, v), (at, cosine) in zip(got.items(), self.nearest([v[0] for v in got.values()], [v[1] for v in got.values()], k) if got else (), strict=True):
+            self.seen[key] = float(1 / (1 + np.exp(-np.clip(a * self.lean(v[0], v[1], at, cosine) + b, -30, 30)))), self.docs[at[cosine > 0]].tolist(), v[2]
+        return [self.seen[key] for key in keys]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_g2: float = LEAST_G2) -> Index:
     """Learns from up to per_label documents of each label, the first by a hash of their id."""
-    spark = docs.sparkSession
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     one = one.withColumn("h", F.xxhash64("doc_id"))
     totals = dict(one.groupBy("toxic").count().collect())
     chosen = common.smallest(one, "toxic", "h", per_label).select("doc_id", "toxic")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).dropDuplicates(["toxic", "text"])
-    bag = common.checkpointed(sample.mapInArrow(bags, "doc_id long, toxic int, term string, n long"))
-    n = {0: 0, 1: 0} | dict(bag.where("term = ''").groupBy("toxic").count().collect())
-    if not n[0] + n[1]:
-        return Index({}, [], (1.0, 1.0))
-    df = bag.where("term <> ''").groupBy("term").agg(F.expr("count_if(toxic = 1)").alias("a"), F.expr("count_if(toxic = 0)").alias("b")).where("a + b >= 3")
-    g2 = " + ".join(f"if({o} > 0, {o} * ln({o} / ((a + b) * {side} / {float(n[0] + n[1])})), 0)" for o, side in (("a", float(max(n[1], 1e-9))), ("b", float(max(n[0], 1e-9)))))
-    rest = " + ".join(f"if({side} - {o} > 0, ({side} - {o}) * ln(({side} - {o}) / (({n[0] + n[1]}.0 - a - b) * {side} / {float(n[0] + n[1])})), 0)" for o, side in (("a", float(n[1])), ("b", float(n[0]))))
-    ranked = df.withColumn("g2", 2 * (F.expr(g2) + F.expr(rest))).where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), F.length(F.rtrim("term", F.lit("-"))).desc(), "term").limit(8 * terms).collect()
-    total = n[0] + n[1]
-    idf = strongest([(r["term"], 1 + float(np.log((total + 1) / (r["a"] + r["b"] + 1)))) for r in ranked], terms)
-    words = spark.createDataFrame([(t,) for t in idf] or [("",)], "term string")
-    kept = bag.join(F.broadcast(words), "term").groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("bag"))
-    rows = bag.where("term = ''").select("doc_id", "toxic", "n").join(kept, "doc_id", "left").collect()  # at most per_label of each label
-    weight = tuple(totals.get(y, 0) / max(1, n[y]) for y in (0, 1))
-    return Index(idf, [(r["doc_id"], r["toxic"], r["n"], [(b["term"], b["n"]) for b in r["bag"] or ()]) for r in rows], weight)
+    schema = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, toxic int, words long, names binary, counts binary"
+    rows = sorted(tuple(r) for r in sample.mapInArrow(bags, schema).collect())  # at most per_label of each label
+    n = Counter(r[1] for r in rows)
+    return Index(rows, tuple(totals.get(y, 0) / max(1, n[y]) for y in (0, 1)), least_g2)
 
 
 def score(docs: DataFrame, index: Index, keep: list[str], k: int = NEIGHBOURS) -> DataFrame:
-    """keep, score, predicted, neighbours (ids of the nearest examples), terms (what of the text is in the vocabulary)."""
+    """keep, score, predicted, neighbours (ids of the nearest examples), terms (of the text, those that tell the labels apart)."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         for batch in batches:
-            got = [sent.value.score(t, k) for t in batch.column("_text").to_pylist()]
+            texts = batch.column("_text").to_pylist()
+            got = [g for at in range(0, len(texts), BATCH) for g in sent.value.score(texts[at : at + BATCH], k)]
             s = [round(g[0], 9) for g in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.string()))], [*keep, "score", "predicted", "neighbours", "terms"])
 
@@ -250,7 +280,7 @@ def score(docs: DataFrame, index: Index, keep: list[str], k: int = NEIGHBOURS) -
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, **bounds) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence; labels of the held-out fold are not learned from."""
-    docs = docs.select("doc_id", "text").withColumn("held_out", fold("doc_id", folds) == held)
+    docs = common.bounded(docs.select("doc_id", "text")).withColumn("held_out", fold("doc_id", folds) == held)
     return score(docs, fit(docs, labels.where(fold("doc_id", folds) != held), **bounds), ["doc_id", "held_out"])
 
 
