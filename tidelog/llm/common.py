@@ -13,8 +13,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Python's bytes.split() without arguments cuts at the same six characters.
 
 
+#: Of rows that hold whole texts, what is in hand at once; Spark's own limits count rows only, 10,000 and 4,096.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs; where its session doesn't set them, batches on the way to Python end at 1 MB and Parquet is read 512 rows at a time."""
+    conf = docs.sparkSession.conf
+    for key, value in BOUNDS.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -3,27 +3,29 @@
 The language family comes first, then the languages inside it; at both levels
 one-versus-one linear support vector machines over hashed character n-grams
 vote. Learning uses at most `per_language` labelled documents of each language,
-chosen by a hash; their feature vectors (a fixed 8 KB each, made on the
-executors from whole texts) are all that reaches the driver. Prediction is one
-pass without a shuffle over every whole text.
+chosen by a hash, in vectors of 8 KB made on the executors from whole texts. Each
+machine is fitted in a task of its own from the vectors of its two classes; only
+machines, 16 KB each, reach the driver. Prediction is one pass without a shuffle
+over every whole text.
 
 Features are the square roots of n-gram shares (2 and 3 bytes of the lower-cased
 text, other than letters as one space), so repeated junk weighs little.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; a
-null doc_id counts as the empty string in the fold; null languages are not
-learned from; with no labelled row every text is `und`, with one language that
-is the only answer; repeated rows are predicted alike; other columns are ignored.
+Defined cases: null texts and texts without a letter (a character of Unicode's
+category L) are `und` with score 0; a null doc_id counts as the empty string in
+the fold; null languages are not learned from; with no labelled row every text is
+`und`, with one language that is the only answer; ties go to the first class by
+name; repeated rows are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
@@ -46,7 +48,7 @@ DIM = 4096
 PER_LANGUAGE = 500
 #: Of how clear a kept text in a pipeline is; a toss-up between two languages inside a sure family has 0.5.
 LEAST_SCORE = 0.3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and all bytes of longer characters stand, everything else is a space.
 KEEP = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], dtype=np.uint8)
 
@@ -91,16 +93,6 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 4.0) -> tup
     return w, float(bias), scale, shift
 
 
-def pairwise(x: np.ndarray, y: np.ndarray) -> tuple[list[str], list]:
-    """Classes, and one machine for each pair of them."""
-    names = sorted(set(y))
-    machines = []
-    for a, b in itertools.combinations(range(len(names)), 2):
-        own = (y == names[a]) | (y == names[b])
-        machines.append((a, b, *train(x if own.all() else x[own], np.where(y[own] == names[a], 1.0, -1.0))))
-    return names, machines
-
-
 def shares(x: np.ndarray, names: list[str], machines: list) -> tuple[np.ndarray, np.ndarray]:
     """Rows by classes: the mean of the pairwise probabilities of a class, adding up to 1, and the smallest of them, whatever the number of classes."""
     if len(names) == 1:
@@ -117,11 +109,29 @@ def shares(x: np.ndarray, names: list[str], machines: list) -> tuple[np.ndarray,
     return out / out.sum(axis=1, keepdims=True), least
 
 
+def family(language: str) -> str:
+    return FAMILY.get(language, f"only {language}")
+
+
+def duels(languages: list[str]) -> list[tuple[str, str, str]]:
+    """(level, a, b): the pairs of families, level "", and the pairs of languages inside each."""
+    families: dict[str, list[str]] = {}
+    for l in sorted(languages):
+        families.setdefault(family(l), []).append(l)
+    levels = {"": sorted(families), **families}
+    return [(level, a, b) for level, names in levels.items() for a, b in itertools.combinations(names, 2)]
+
+
 class Model:
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        family = np.array([FAMILY.get(v, f"only {v}") for v in y], dtype=object)
-        self.families = pairwise(x, family) if len(y) else ([], [])
-        self.inside = {f: pairwise(x[family == f], y[family == f]) for f in self.families[0]}
+    """languages, and for each duel (level, a, b) its machine as `train` gives it."""
+
+    def __init__(self, languages: list[str], machines: dict[tuple[str, str, str], tuple]):
+        inside: dict[str, list[str]] = {}
+        for l in sorted(languages):
+            inside.setdefault(family(l), []).append(l)
+        ranked = lambda level, names: (names, [(names.index(a), names.index(b), *m) for (at, a, b), m in sorted(machines.items()) if at == level])
+        self.families = ranked("", sorted(inside))
+        self.inside = {f: ranked(f, names) for f, names in inside.items()}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         return self.told(texts)[:2]
@@ -155,16 +165,35 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["lang", "x"])
 
 
+def duel(all_duels: list[tuple[str, str, str]]):
+    """The vectors of a duel's classes, 500 a language as a rule, to its machine; in an order that depends on them alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.column("duel")[0].as_py()
+        level, a, _ = all_duels[n]
+        table = table.sort_by([("lang", "ascending"), ("x", "ascending")])
+        x = np.empty((len(table), DIM), dtype=np.float32)
+        for to, row in zip(x, table.column("x"), strict=True):
+            to[:] = np.frombuffer(row.as_buffer(), dtype=np.float16)
+        y = np.array([1.0 if (l if level else family(l)) == a else -1.0 for l in table.column("lang").to_pylist()])
+        w, *rest = train(x, y)
+        return pa.table({"duel": pa.array([n], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "rest": pa.array([[float(r) for r in rest]], pa.list_(pa.float64()))})
+
+    return run
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from text and non-null lang of up to per_language documents a language, the first by a hash of id and text."""
-    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
+    known = common.bounded(docs).select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
     last = common.smallest(known.select("lang", "h").distinct(), "lang", "h", per_language).groupBy("lang").agg(F.max("h").alias("last"))
     sample = known.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["lang", "h"])
-    rows = sample.select("lang", "text").mapInArrow(vectors, "lang string, x binary").orderBy("lang", "x").collect()
-    x = np.empty((len(rows), DIM), dtype=np.float32)
-    for to, r in zip(x, rows, strict=True):
-        to[:] = np.frombuffer(r[1], dtype=np.float16)
-    return Model(x, np.array([r[0] for r in rows], dtype=object))
+    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    if not languages:
+        return Model([], {})
+    meets = docs.sparkSession.createDataFrame([(l, n) for n, (level, a, b) in enumerate(duels(languages)) for l in languages if (family(l) if not level else l) in (a, b) and level in ("", family(l))], "lang string, duel int")
+    rows = sample.select("lang", "text").mapInArrow(vectors, "lang string, x binary").join(F.broadcast(meets), "lang")
+    fitted = rows.groupBy("duel").applyInArrow(duel(duels(languages)), "duel int, w binary, rest array<double>").collect()
+    return Model(languages, {duels(languages)[r[0]]: (np.frombuffer(r[1], dtype=np.float32), *r[2]) for r in fitted})
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -198,7 +227,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataF
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score; rows of the held-out fold are not learned from."""
-    docs = docs.select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", folds) == held)
+    docs = common.bounded(docs).select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", folds) == held)
     return predict(docs, fit(docs.where("NOT held_out"), per_language), ["doc_id", "held_out"])
 
 
