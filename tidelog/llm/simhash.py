@@ -5,9 +5,10 @@ The Manhattan distance of two embeddings never exceeds the Hamming distance of
 the fingerprints. With `parts` = 2, one 32-bit half of a pair at distance 4 or
 less differs by 2 at most; both embeddings of that half then lie within 1 of a
 common grid cell. Every fingerprint therefore enters its own cell and the cells
-one step away, in both halves, and no pair is missed. With `parts` = 1 the whole
-fingerprint is embedded and the cells within 2 steps are entered: more rows, far
-fewer candidates, for more than about 50 million fingerprints; same links.
+one step away, in both halves, and no pair is missed. With `parts` = 1, a
+parameter, the whole fingerprint is embedded and the cells within 2 steps are
+entered: over 1,000 rows a fingerprint in place of about 50, far fewer
+candidates, the same links.
 
 Inside a cell, distances are computed in blocks and only the links of a spanning
 forest leave the task, so a group of near copies yields as many links as
@@ -34,7 +35,6 @@ from . import common, runs
 WORDS = 4
 MOST = 4
 SEED = 42
-MANY = 50_000_000
 SMALL_RUN = 24
 LOW = np.uint64(0x5555555555555555)
 
@@ -151,36 +151,37 @@ def near(most: int):
     return run
 
 
-def links(distinct: DataFrame, most: int = MOST, parts: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, most: int = MOST, parts: int = 2) -> DataFrame:
     """(a, b): links that span every component of the distinct fingerprints `fp`."""
     if most > 4:
         raise ValueError("the grid's steps are laid out for 4 bits at most")
-    parts = parts or (2 if distinct.count() <= MANY else 1)
     n = common.partitions(distinct.sparkSession)
     entered = distinct.repartition(n, "fp").mapInArrow(enter(parts), "cell long, fp long")
     return entered.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(near(most), "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, parts: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, parts: int = 2) -> DataFrame:
     """id_col, fp, component_id (the smallest id reachable over links): one row a document."""
-    rows = common.checkpointed(fingerprints(docs, [id_col], text_col).withColumnRenamed(id_col, "doc"))
+    rows = common.checkpointed(fingerprints(common.bounded(docs), [id_col], text_col).withColumnRenamed(id_col, "doc"))
     distinct = common.checkpointed(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("least")))
     member = common.components(links(distinct.select("fp"), most, parts)).withColumnRenamed("node", "fp")
-    known = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = common.lookup(rows, known.select("fp", "copies", "component").join(least, "component").drop("component"), ["fp"], "copies", rows.count())
+    known = common.checkpointed(distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    known = common.lookup(known.drop("least"), least, ["component"], "members", known.count())
+    out = common.lookup(rows, known.select("fp", "copies", "component_id"), ["fp"], "copies", rows.count())
     return out.select(F.col("doc").alias(id_col), "fp", "component_id")
 
 
 def representatives(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The rows of docs, one for each group: the smallest doc_id (nulls last), ties by text; of repeated rows one."""
     key = common.text_key()
-    rows = common.checkpointed(fingerprints(docs.select("doc_id", *key, "text"), ["doc_id", "g1", "g2"]).withColumnRenamed("doc_id", "doc"))
+    rows = common.checkpointed(fingerprints(common.bounded(docs).select("doc_id", *key, "text"), ["doc_id", "g1", "g2"]).withColumnRenamed("doc_id", "doc"))
     rank = F.struct(F.col("doc").isNull().alias("no"), F.col("doc").alias("doc"), F.col("g1").alias("g1"), F.col("g2").alias("g2"))
     distinct = common.checkpointed(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("least")))
     member = common.components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    known = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    known = known.join(known.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "copies", "first")
+    known = common.checkpointed(distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    first = known.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members"))
+    known = common.lookup(known.drop("least"), first, ["component"], "members", known.count()).select("fp", "copies", "first")
     told = common.checkpointed(common.lookup(rows, known, ["fp"], "copies", rows.count()).withColumn("stays", rank == F.col("first")))
     gone = told.where("NOT stays").select("doc", "g1", "g2").distinct()
     again = told.where("stays").groupBy("doc", "g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
