@@ -9,11 +9,12 @@ double precision. Over 20,000 random pairs of 64 dimensions at each cosine, the
 recall was 0.991 at 0.93, 0.995 at 0.94 and 0.999 at 0.95; every link that is
 reported is exact.
 
-Equal vectors of a label are one node with a weight. A pair that meets in
-several cells is counted in the first only, which both vectors' codes tell, so
-counts are added up without pairs ever leaving a task. Cells above `block` rows
-are dealt out as pairs of blocks, so no task holds more than two blocks of a
-cell however hot it is.
+Equal vectors of a label are one node with a weight. Cells are shuffled first, as
+pairs of a cell's name and a node's number; vectors travel only to the cells in
+which a home meets another node. A pair that meets in several cells is counted in
+the first only, which both vectors tell, so counts are added up without pairs
+ever leaving a task. Cells above `block` nodes are dealt out as pairs of blocks,
+so a task holds some two blocks of a cell, however hot it is.
 
 Defined cases: null labels, null or zero vectors, and vectors with null or
 non-finite components link with nothing and are their own component; so are
@@ -38,8 +39,12 @@ COSINE = 0.93
 TABLES = 8
 POINTS = 2
 SCALE = 0.3
-BLOCK = 2048
+BLOCK = 16_384
+#: A cell is seen as hot where one in so many vectors of a batch enters it.
+HOT_SHARE = 64
 WAYS = 1 + POINTS  # home, and a probe for each point
+#: The table of hot cells is broadcast up to so many rows.
+BROADCAST_ROWS = 100_000
 
 
 @cache
@@ -108,39 +113,65 @@ def codes(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]  # squares of very large or small components stay in range
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def coded(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, their codes), some 512 vectors of one length at a time."""
+    vec = batch.column("vec").to_pylist()
+    lengths = np.array([len(v) for v in vec])
+    for size in np.unique(lengths):
+        own = np.flatnonzero(lengths == size)
+        for at in range(0, len(own), 512):
+            part = own[at : at + 512]
+            yield part, codes(unit([vec[i] for i in part], kind), batch.column("label").to_numpy().view(np.uint64)[part])
+
+
 def enter(kind: str):
-    """(rid, label, weight, vec) to a row for each cell that the vector enters."""
+    """(rid, label, vec) to a row for each cell that the vector enters; tag is twice rid, and one more in its home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column("vec").to_pylist()])
-            for size in np.unique(lengths):
-                own = np.flatnonzero(lengths == size)
-                for at in range(0, len(own), 512):
-                    part = batch.take(pa.array(own[at : at + 512]))
-                    raw = part.column("vec").to_pylist()
-                    names = codes(unit(raw, kind), part.column("label").to_numpy().view(np.uint64))
-                    flat = pa.array([n.tobytes() for n in names], pa.binary())
-                    for t in range(TABLES):
-                        for way in range(WAYS):
-                            yield pa.RecordBatch.from_arrays([pa.array(names[:, t, way].copy().view(np.int64)), pa.array(np.full(len(part), t, dtype=np.int32)), pa.array(np.full(len(part), way == 0)), *part.columns, flat], ["cell", "t", "home", "rid", "label", "weight", "vec", "codes"])
+            rid = batch.column("rid").to_numpy()
+            for part, names in coded(batch, kind):
+                tags = np.broadcast_to((2 * rid[part])[:, None, None] + (np.arange(WAYS) == 0), names.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1).view(np.int64)), pa.array(tags.reshape(-1))], ["cell", "tag"])
 
     return run
 
 
-def first_meeting(a: np.ndarray, b: np.ndarray, t: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Whether the pair of codes (pairs x tables x ways) meets in (t, cell) and nowhere before."""
+def crowded(kind: str):
+    """(rid, label, vec) to (cell, n) of the cells that one in HOT_SHARE vectors of a batch enters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n = np.unique(np.concatenate([names.reshape(-1) for _, names in coded(batch, kind)]), return_counts=True)
+            many = n >= max(16, len(batch) // HOT_SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[many].view(np.int64)), pa.array(n[many])], ["cell", "n"])
+
+    return run
+
+
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of `key`, of the runs only those in which a home meets another node."""
+    for table in runs.whole_runs(batches, "key"):
+        first, past = runs.bounds(table.column("key").to_numpy())
+        tag = table.column("tag").to_numpy()
+        good = (past - first > 1) & np.logical_or.reduceat(tag % 2 == 1, first)
+        keep = np.flatnonzero(np.repeat(good, past - first))
+        yield from table.take(pa.array(keep)).combine_chunks().to_batches()
+
+
+def first_meeting(a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether the pair of codes (pairs x tables x ways) meets in the cell and nowhere before."""
     ha, hb = a[:, :, 0], b[:, :, 0]
     same = ha == hb
     at_a = same | (ha[:, :, None] == b[:, :, 1:]).any(axis=2)
     at_b = ~same & (hb[:, :, None] == a[:, :, 1:]).any(axis=2)
     least = np.where(at_a & at_b, np.minimum(ha, hb), np.where(at_a, ha, hb))
     meets = at_a | at_b
-    first = meets.argmax(axis=1)
-    return meets.any(axis=1) & (first == t) & (least[np.arange(len(a)), first] == cell)
+    return meets.any(axis=1) & (least[np.arange(len(a)), meets.argmax(axis=1)] == cell)
 
 
 def verify(kind: str, least: float):
@@ -148,46 +179,48 @@ def verify(kind: str, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs.whole_runs(batches, "key"):
-            key = table.column("key").to_numpy()
-            home = table.column("home").to_numpy()
-            cols = {c: table.column(c).to_numpy() for c in ("cell", "t", "rid", "label", "weight", "block", "one", "two")}
-            vec, code = table.column("vec").to_pylist(), table.column("codes").to_pylist()
+            cols = {c: table.column(c).to_numpy() for c in ("key", "cell", "tag", "label", "weight", "block", "apart")}
+            vec = table.column("vec")
             out_a, out_b, out_n = [], [], []
-            for first, past in zip(*runs.bounds(key), strict=True):
-                if past - first < 2 or not home[first:past].any():
+            for first, past in zip(*runs.bounds(cols["key"]), strict=True):
+                if past - first < 2:
                     continue
-                size = np.array([len(v) for v in vec[first:past]])
-                for cell, t, dim in set(zip(cols["cell"][first:past].tolist(), cols["t"][first:past].tolist(), size.tolist(), strict=True)):
-                    own = first + np.flatnonzero((cols["cell"][first:past] == cell) & (cols["t"][first:past] == t) & (size == dim))
-                    if len(own) < 2 or not home[own].any():
+                raw = [v.as_py() for v in vec[first:past]]
+                size = np.array([len(v) for v in raw])
+                for cell, dim in set(zip(cols["cell"][first:past].tolist(), size.tolist(), strict=True)):
+                    some = np.flatnonzero((cols["cell"][first:past] == cell) & (size == dim))
+                    own = first + some
+                    home = cols["tag"][own] % 2 == 1
+                    if len(own) < 2 or not home.any():
                         continue
-                    x = unit([vec[i] for i in own], kind)
-                    names = np.frombuffer(b"".join(code[i] for i in own), dtype=np.uint64).reshape(len(own), TABLES, WAYS)
-                    rid, weight, label, hm, block = (c[own] for c in (cols["rid"], cols["weight"], cols["label"], home, cols["block"]))
-                    apart = cols["one"][own[0]] != cols["two"][own[0]]
+                    x = unit([raw[i] for i in some], kind)
+                    rid, weight, label, block = cols["tag"][own] >> 1, cols["weight"][own], cols["label"][own], cols["block"][own]
+                    names: dict[int, np.ndarray] = {}
                     n, forest = np.zeros(len(own), dtype=np.int64), runs.Forest(len(own))
                     for at in range(0, len(own), 512):
-                        close = x[at : at + 512] @ x.T >= least
+                        close = x[at : at + 512] @ x[: at + 512].T >= least
                         i, j = np.nonzero(close)
                         i += at
-                        ok = (i < j) & (hm[i] | hm[j]) & (label[i] == label[j]) & (rid[i] != rid[j])
-                        if apart:
+                        ok = (j < i) & (home[i] | home[j]) & (label[i] == label[j]) & (rid[i] != rid[j])
+                        if cols["apart"][own[0]]:
                             ok &= block[i] != block[j]
                         i, j = i[ok], j[ok]
+                        new = np.array([k for k in np.unique(np.concatenate((i, j))).tolist() if k not in names], dtype=np.int64)
+                        for part in range(0, len(new), 512):
+                            names.update(zip(new[part : part + 512].tolist(), codes(x[new[part : part + 512]], label[new[part : part + 512]].view(np.uint64)), strict=True))
                         for part in range(0, len(i), 1 << 14):
                             a, b = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
-                            keep = first_meeting(names[a], names[b], np.full(len(a), t), np.full(len(a), cell).view(np.uint64))
+                            keep = first_meeting(np.stack([names[k] for k in a.tolist()]), np.stack([names[k] for k in b.tolist()]), np.full(len(a), cell).view(np.uint64))
                             a, b = a[keep], b[keep]
                             np.add.at(n, a, weight[b])
                             np.add.at(n, b, weight[a])
                             for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                                p, q = max(p, q), min(p, q)
                                 if forest.root(p) != forest.root(q):
                                     forest.add(p, np.array([q]))
-                    some = np.flatnonzero(n)
-                    out_a += [rid[some], *([rid[np.array(forest.links)[:, 0]]] if forest.links else [])]
-                    out_b += [np.full(len(some), -1), *([rid[np.array(forest.links)[:, 1]]] if forest.links else [])]
-                    out_n += [n[some], np.zeros(len(forest.links), dtype=np.int64)]
+                    linked = np.flatnonzero(n)
+                    out_a += [rid[linked], *([rid[np.array(forest.links)[:, 0]]] if forest.links else [])]
+                    out_b += [np.full(len(linked), -1), *([rid[np.array(forest.links)[:, 1]]] if forest.links else [])]
+                    out_n += [n[linked], np.zeros(len(forest.links), dtype=np.int64)]
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_a, out_b, out_n)], ["a", "b", "n"])
 
@@ -197,7 +230,7 @@ def verify(kind: str, least: float):
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = COSINE, block: int = BLOCK) -> DataFrame:
     """id_col, n_links, component_id, kept: one row a vector."""
     n = common.partitions(vectors.sparkSession)
-    element = vectors.schema[vec_col].dataType.elementType.simpleString()
+    element = common.bounded(vectors).schema[vec_col].dataType.elementType.simpleString()
     kind, vec = ("<f4", "float") if element == "float" else ("<f8", "double")
     good = "label IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND forall(vec, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')) AND exists(vec, v -> v <> 0)"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(f"array<{vec}>").alias("vec")).withColumn("good", F.expr(f"coalesce({good}, false)"))
@@ -211,21 +244,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = common.checkpointed(rows.select("id", F.xxhash64("label").alias("label"), "vec", "good").mapInArrow(packed, f"id {id_type}, label long, vec binary"))
     nodes = rows.where("vec IS NOT NULL").groupBy("label", "vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
     nodes = common.checkpointed(nodes.withColumn("rid", F.monotonically_increasing_id()))
-    entered = nodes.select("rid", "label", "weight", "vec").mapInArrow(enter(kind), "cell long, t int, home boolean, rid long, label long, weight long, vec binary, codes binary")
-    names = nodes.select("rid", "label", "weight", "vec").mapInArrow(enter(kind), "cell long, t int, home boolean, rid long, label long, weight long, vec binary, codes binary").select("cell")
-    hot = names.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block).select("cell", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    hot = common.checkpointed(hot)
-    dealt = entered.join(hot, "cell", "left") if hot.count() else entered.withColumn("blocks", F.lit(None).cast("int"))
-    dealt = dealt.withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks is null, array(0), sequence(0, blocks - 1))")))
-    dealt = dealt.select("cell", "t", "home", "rid", "label", "weight", "vec", "codes", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).withColumn("key", F.xxhash64("cell", "t", "one", "two"))
-    found = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify(kind, least), "a long, b long, n long")
+    own = nodes.select("rid", "label", "vec")
+    hot = own.mapInArrow(crowded(kind), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+    hot = common.checkpointed(hot.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = own.mapInArrow(enter(kind), "cell long, tag long")
+    n_hot = hot.count()
+    if n_hot:
+        dealt = dealt.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "cell", "left")
+        dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.shiftright("tag", 1)), F.col("blocks")), F.lit(0)).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks is null, array(0), sequence(0, blocks - 1))")))
+        dealt = dealt.select(F.expr("if(blocks is null, cell, xxhash64(cell, least(block, other), greatest(block, other)))").alias("key"), "cell", "tag", "block", (F.col("block") != F.col("other")).alias("apart"))
+    else:
+        dealt = dealt.select(F.col("cell").alias("key"), "cell", "tag", F.lit(0).alias("block"), F.lit(False).alias("apart"))
+    met = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meeting, "key long, cell long, tag long, block int, apart boolean")
+    met = met.withColumn("rid", F.shiftright("tag", 1)).join(nodes.select("rid", "label", "weight", "vec"), "rid").drop("rid")
+    found = met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify(kind, least), "a long, b long, n long")
     found = common.checkpointed(found)
     counts = found.where("b < 0").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
     member = common.components(found.where("b >= 0").select("a", "b")).withColumnRenamed("node", "rid")
-    known = nodes.join(member, "rid", "left").join(counts, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(smallest, "component").select("label", "vec", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    known = common.checkpointed(nodes.join(member, "rid", "left").join(counts, "rid", "left").withColumn("component", F.coalesce("component", "rid")))
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    known = common.lookup(known.drop("least"), smallest, ["component"], "members", known.count())
+    known = known.select("label", "vec", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     linked = common.lookup(rows.where("vec IS NOT NULL"), known, ["label", "vec"], "weight", rows.count()).select("id", "n_links", "component_id")
     alone = rows.where("vec IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
