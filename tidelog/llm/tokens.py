@@ -1,7 +1,8 @@
 """Token counts: Arrow batches go to the tokenizer, only lengths come back.
 
-Batches are cut by bytes, not rows, so that one batch costs about as much as
-another whatever the lengths of its texts, and a text beyond the limit is split
+Batches are cut by bytes, not rows, on their way from Spark and before they are
+encoded, so that one batch costs about as much as another whatever the lengths of
+its texts, and a text beyond the limit is split
 at safe boundaries: before a single space that follows a character other than a
 space. No piece of the vocabulary has a space mark after another character (this
 is checked when the model is loaded), so no merge crosses such a boundary, and
@@ -65,10 +66,11 @@ def counter(path: str, id_col: str, text_col: str, batch_bytes: int):
                 todo.clear(), owner.clear()
 
             for i, t in enumerate(texts):
-                for part in parts(t) if t else ():
+                cut = parts(t) if t else ()
+                for part in cut:
                     todo.append(part)
                     owner.append(i)
-                    held += len(part)
+                    held += sizes[i] if len(cut) == 1 else len(part.encode())
                     if held >= batch_bytes:
                         flush()
                         held = 0
@@ -81,7 +83,7 @@ def counter(path: str, id_col: str, text_col: str, batch_bytes: int):
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row a document, no shuffle."""
-    out = docs.select(id_col, text_col).mapInArrow(counter(model_path, id_col, text_col, batch_bytes), "doc_id long, n_bytes long, n_tokens long")
+    out = common.bounded(docs).select(id_col, text_col).mapInArrow(counter(model_path, id_col, text_col, batch_bytes), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
