@@ -80,7 +80,10 @@ def test_ring_collision_and_empty(spark):
     assert [tuple(r) for r in same.select("hash", "node_key").collect()] == [(7, "b")]  # the last added holds the place
     keys = spark.createDataFrame([(7,), (8,)], "h long")
     assert [r.node_key for r in ring.route(keys, same, F.col("h")).collect()] == ["b", "b"]
-    assert ring.route(keys, same.limit(0), F.col("h")).count() == 0
+    with pytest.raises(Exception, match="no node"):
+        ring.route(keys, same.limit(0), F.col("h")).collect()
+    lone = spark.createDataFrame([(None,), (3,)], "h long")
+    assert sorted(map(str, ring.route(lone, same, F.col("h")).collect())) == ["Row(h=3, node_key='b')", "Row(h=None, node_key=None)"]
 
 
 def test_removal_moves_only_the_nodes_own_keys(spark):
@@ -159,8 +162,10 @@ def test_commit_and_follow(spark):
     done = consensus.commits(entries, acks, "i", "at", "ok", 3)
     assert {r.i: r.commit_ack for r in done.collect()} == {0: 3, 1: None, 2: 5}
     assert [r.commit_index for r in consensus.commit_index(done, "i").orderBy("i").collect()] == [0, 0, 1]
-    requests = spark.createDataFrame([("f", 0, 1, 0), ("f", 1, 2, 1), ("f", 2, 1, 1), ("f", 3, 1, 2)], "f string, seq long, n long, c long")
-    assert [r.accepted for r in consensus.follow(requests, "f", "seq", "n", "c").orderBy("seq").collect()] == [True, False, True, True]
+    # worked out from the rule: size + entries = the request's commit index + 2
+    requests = spark.createDataFrame([("f", 0, 1, -1), ("f", 1, 1, 0), ("f", 2, 1, 1), ("g", 0, 1, 0), ("g", 1, 2, 0), ("h", 0, 1, -1), ("h", 1, 1, 3), ("h", 2, 4, 3)], "f string, seq long, n long, c long")
+    got = [(r.accepted, r.last_index) for r in consensus.follow(requests, "f", "seq", "n", "c").orderBy("f", "seq").collect()]
+    assert got == [(True, 0), (True, 1), (True, 2), (False, -1), (True, 1), (True, 0), (False, 0), (True, 4)]
     assert consensus.entries_between(entries, "i", 1).count() == 2 and consensus.entries_between(entries, "i", 1, 2).count() == 1
 
 
@@ -208,3 +213,63 @@ def test_state_machine_and_members(spark):
     assert [r.total for r in got.orderBy("i").collect()] == [0, 10, 30]
     joins = spark.createDataFrame([("a", 0), ("b", 0), ("c", 5)], "node string, at long")
     assert consensus.members_at(joins, "node", "at", 4).count() == 2
+
+
+def test_leaders(spark):
+    votes = spark.createDataFrame([(1, "a", 1, "x"), (2, "b", 1, "x"), (3, "c", 2, "y"), (4, "d", 3, "x"), (5, "d", 3, "y"), (6, "x", 3, "x"), (7, "e", 3, "x"), (8, "f", 4, "x"), (9, "g", 4, "y")], "seq long, voter string, term int, candidate string")
+    lead = lambda names, quorum: sorted((r.term, r.leader, r.votes) for r in consensus.leaders(votes, "voter", "term", "candidate", "seq", spark.createDataFrame([(n,) for n in names], "n string"), quorum).collect())
+    assert lead("abcde", "peers") == [(1, "x", 3), (3, "x", 3)]  # one vote of five, beside its own, is no majority
+    assert lead("abcd", "strict") == [(1, "x", 3), (3, "x", 3)]
+    assert lead("abcd", "peers") == [(1, "x", 3), (2, "y", 2), (3, "x", 3), (4, "x", 2), (4, "y", 2)]
+
+
+def test_silence_and_step_down(spark):
+    beats = spark.createDataFrame([("a", 0, 0), ("a", 1, 9), ("b", 2, 1), ("b", 3, 95), ("c", 4, 120)], "n string, seq long, t long")
+    assert sorted((r.n, r.seq, r.gap_ms) for r in consensus.gaps(beats, "n", "t", "seq", 50, 100).collect()) == [("a", None, 91), ("b", 3, 94)]
+    replies = spark.createDataFrame([("l", 0, 5, 5, 1), ("l", 0, 5, 5, 2), ("l", 0, 5, 9, 3), ("l", 1, 5, 6, 1), ("l", 1, 5, 5, 2)], "l string, beat long, term int, r int, seq long")
+    assert [tuple(r) for r in consensus.step_downs(replies, "l", "beat", "term", "r", "seq", 4).collect()] == [("l", 1, 6)]
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "i long, node string")
+    assert [r.appended for r in consensus.leader_appends(df, F.col("node") == "a", "flag").orderBy("i").collect()] == [True, False]
+    with pytest.raises(Exception, match="only a leader"):
+        consensus.leader_appends(df, F.col("node") == "a").collect()
+    nodes = spark.createDataFrame([("a",)], "name string")
+    with pytest.raises(Exception, match="no node b"):
+        consensus.known_node(df, nodes, "node", "name").count()
+    assert consensus.known_node(df.where("i = 1"), nodes, "node", "name").count() == 1
+
+
+def test_catch_up_counts_entries(spark):
+    log = spark.createDataFrame([(i, f"e{i}") for i in (0, 1, 5, 9)], "i long, data string")
+    followers = spark.createDataFrame([("a", 1), ("b", -1), ("c", 9), ("d", 3)], "follower string, last_index long")
+    got = sorted(tuple(r) for r in consensus.catch_up(log, followers, "i").collect())
+    assert got == [("a", 2, 5, 9), ("b", 4, 0, 9), ("d", 2, 5, 9)]
+    sent = sorted((r.follower, r.i, r.data) for r in consensus.resend(log, followers, "i", 2).collect())
+    assert sent == [("a", 5, "e5"), ("a", 9, "e9"), *[("b", i, f"e{i}") for i in (0, 1, 5, 9)], ("d", 5, "e5"), ("d", 9, "e9")]
+    assert tuple(consensus.log_ends(log, "i").first()) == (4, 9) and tuple(consensus.log_ends(log.limit(0), "i").first()) == (0, -1)
+
+
+def test_prefix_sum_of_far_values(spark):
+    df = spark.createDataFrame([(i * 10**15, i) for i in range(-50, 50)], "o long, v long")
+    got = {r.o: r.s for r in ordered.prefix_sum(df, [], "o", F.col("v"), "s").collect()}
+    assert all(got[i * 10**15] == sum(range(-50, i + 1)) for i in range(-50, 50))
+
+
+def test_stripes_of_text(spark):
+    got = locks.stripes(spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), "k", 4).collect()
+    assert sum(r.n_keys for r in got) == 2 and sum(r.n_calls for r in got) == 3
+
+
+def test_strict_map(spark):
+    df = spark.createDataFrame([(1,), (None,)], "x int")
+    assert optional.if_present(df, F.col("x")).count() == 1
+    assert [r.m for r in df.select(optional.map_strict(F.col("x"), lambda x: x + 1).alias("m")).collect()] == [2, None]
+    with pytest.raises(Exception, match="a value is required"):
+        df.select(optional.map_strict(F.col("x"), lambda x: F.lit(None).cast("int"))).collect()
+
+
+def test_pool_before_the_epoch(spark):
+    tasks = spark.createDataFrame([("p", 0, -500, 10)], "p string, seq long, at long, takes long")
+    assert [(r.start_ms, r.waited_ms) for r in pool.schedule(tasks, "p", "at", "seq", "takes", 2).collect()] == [(-500, 0)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def some(x: Column) -> Column:
@@ -28,6 +28,16 @@ def map_(x: Column, f: Callable[[Column], Column]) -> Column:
 flat_map = map_
 
 
+def map_strict(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value; a value that f makes nothing of raises."""
+    return F.when(x.isNotNull(), some(f(x)))
+
+
+def if_present(rows: DataFrame, x: Column) -> DataFrame:
+    """The rows that have a value."""
+    return rows.where(x.isNotNull())
+
+
 def is_present(x: Column) -> Column:
     return x.isNotNull()
 

@@ -63,6 +63,17 @@ def stripe(key: Column, stripes: int) -> Column:
     return F.pmod(key, F.lit(stripes)).cast("int")
 
 
+def hashed_stripe(key: Column, stripes: int) -> Column:
+    """The stripe of a key of any type."""
+    return F.pmod(F.xxhash64(key), F.lit(stripes)).cast("int")
+
+
+def render_store(keys: Column, values: Column) -> Column:
+    """KVStore[kv={k=v, ...}] of two arrays, in their order."""
+    pairs = F.zip_with(keys, values, lambda k, v: F.concat(k.cast("string"), F.lit("="), v.cast("string")))
+    return F.concat(F.lit("KVStore[kv={"), F.array_join(pairs, ", "), F.lit("}]"))
+
+
 def _let(x: Column, body) -> Column:
     """body(x) with x computed once."""
     return F.transform(F.array(x), body)[0]

@@ -4,30 +4,77 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import fold, prefix_sum
+from ..functions.scalars import majority
+from .ordered import fold, global_index, last_before, prefix_sum
 
 
 def grants(requests: DataFrame, voter: str, term: str, candidate: str, seq: str) -> DataFrame:
-    """Vote requests with granted: a lower term than any seen is denied; a new one is granted; the same one only to the candidate that had it."""
+    """Vote requests with granted: a lower term than any seen is denied; a new one is granted; the same one only to the candidate that had it.
+
+    A row without a candidate is a heartbeat: a higher term is adopted and the vote
+    cleared, so no request of that term is granted any more; its granted is null.
+    """
     before = Window.partitionBy(voter).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     first = F.first(candidate).over(Window.partitionBy(voter, term).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
     out = requests.withColumn("_seen", F.max(term).over(before)).withColumn("_first", first)
     new = F.col("_seen").isNull() | (F.col(term) > F.col("_seen"))
-    return out.withColumn("granted", new | ((F.col(term) == F.col("_seen")) & (F.col(candidate) == F.col("_first")))).drop("_seen", "_first")
+    same = (F.col(term) == F.col("_seen")) & F.coalesce(F.col(candidate) == F.col("_first"), F.lit(False))
+    return out.withColumn("granted", F.when(F.col(candidate).isNotNull(), new | same)).drop("_seen", "_first")
+
 
+def leaders(votes: DataFrame, voter: str, term: str, candidate: str, seq: str, members: DataFrame, quorum: str = "peers") -> DataFrame:
+    """term, leader, votes: the candidates whose votes of a term make a majority of the cluster.
 
-def leaders(votes: DataFrame, voter: str, term: str, candidate: str, seq: str) -> DataFrame:
-    """term, leader, votes: a voter's first vote of a term counts; a candidate with votes of more than half the term's voters leads."""
+    A voter's first vote of a term counts, and a candidate has its own vote whether
+    the log holds it or not. members has one row a node. The majority is taken of a
+    candidate's peers, own vote included (`peers`: in an even cluster two may lead),
+    or of all members (`strict`).
+    """
+    if quorum not in ("peers", "strict"):
+        raise ValueError("quorum is peers or strict")
     first = votes.groupBy(term, voter).agg(F.min_by(candidate, seq).alias("candidate"))
-    tally = first.groupBy(term, "candidate").agg(F.count(F.lit(1)).alias("votes"))
-    total = tally.groupBy(term).agg(F.sum("votes").alias("_all"))
-    return tally.join(total, term).where("votes >= _all div 2 + 1").select(term, F.col("candidate").alias("leader"), "votes")
+    tally = first.groupBy(term, "candidate").agg((F.count_if(F.col(voter) != F.col("candidate")) + 1).alias("votes"))
+    others = F.count(F.lit(1)) - (1 if quorum == "peers" else 0)
+    need = members.agg(majority(others).alias("_need"))  # one row
+    return tally.join(F.broadcast(need)).where("votes >= _need").select(term, F.col("candidate").alias("leader"), "votes")
+
+
+def known_node(rows: DataFrame, nodes: DataFrame, name: str, node: str) -> DataFrame:
+    """rows; reading one whose name is no node raises."""
+    there = nodes.select(F.col(node).alias("_node")).distinct()
+    lost = F.raise_error(F.concat(F.lit("no node "), F.coalesce(F.col(name).cast("string"), F.lit("null"))))
+    return rows.join(there, F.col(name) == F.col("_node"), "left").where(F.when(F.col("_node").isNull(), lost.cast("boolean")).otherwise(True)).drop("_node")
+
+
+def leader_appends(entries: DataFrame, leads: Column, refused: str = "fail") -> DataFrame:
+    """Appends to a log: only a leader may. With refused `fail`, reading another's raises; with `flag`, appended says which went in."""
+    if refused not in ("fail", "flag"):
+        raise ValueError("refused is fail or flag")
+    ok = F.coalesce(leads, F.lit(False))
+    if refused == "flag":
+        return entries.withColumn("appended", ok)
+    return entries.where(F.when(ok, True).otherwise(F.raise_error(F.lit("only a leader appends to the log")).cast("boolean")))
+
+
+def step_downs(replies: DataFrame, leader: str, beat: str, term: str, reply_term: str, seq: str, peers: int) -> DataFrame:
+    """leader, beat, highest: heartbeats whose first replies, one fewer than a majority has votes, name a higher term than the leader's; it becomes a follower and keeps its term."""
+    heard = F.row_number().over(Window.partitionBy(leader, beat).orderBy(seq)) <= peers // 2
+    first = replies.withColumn("_heard", heard).where("_heard")
+    return first.groupBy(leader, beat).agg(F.max(reply_term).alias("highest"), F.max(term).alias("_own")).where("highest > _own").drop("_own")
+
 
+def gaps(beats: DataFrame, node: str, t_ms: str, seq: str, most_ms: int, until_ms: int | None = None) -> DataFrame:
+    """Beats that came more than most_ms after the node's one before: an election timeout. node, seq, gap_ms.
 
-def gaps(beats: DataFrame, node: str, t_ms: str, seq: str, most_ms: int) -> DataFrame:
-    """Beats that came more than most_ms after the node's one before: an election timeout. node, seq, gap_ms."""
+    With until_ms, the instant of observation, a node that has been silent for
+    longer than most_ms then gives a row too, without a seq.
+    """
     before = F.lag(t_ms).over(Window.partitionBy(node).orderBy(t_ms, seq))
-    return beats.select(node, seq, (F.col(t_ms) - before).alias("gap_ms")).where(F.col("gap_ms") > most_ms)
+    out = beats.select(node, seq, (F.col(t_ms) - before).alias("gap_ms")).where(F.col("gap_ms") > most_ms)
+    if until_ms is None:
+        return out
+    last = beats.where(F.col(t_ms) <= until_ms).groupBy(node).agg((F.lit(until_ms) - F.max(t_ms)).alias("gap_ms"))
+    return out.unionByName(last.where(F.col("gap_ms") > most_ms).withColumn(seq, F.lit(None).cast(beats.schema[seq].dataType)))
 
 
 def missed(beats: DataFrame, node: str, t_ms: str, period_ms: int) -> DataFrame:
@@ -61,13 +108,40 @@ def commit_index(committed: DataFrame, entry: str, out: str = "commit_index") ->
 def catch_up(log: DataFrame, followers: DataFrame, index: str) -> DataFrame:
     """follower, n_missing, first_missing, last_missing of followers (follower, last_index) behind the log.
 
-    The log's indexes are dense, so what a follower lacks is a stretch; no row
-    of the log meets a follower.
+    The log's indexes may have holes: places are counted, and a follower looks up
+    the place after its own; no other row of the log meets it.
     """
-    ends = log.agg(F.min(index).alias("_first"), F.max(index).alias("_last"))
-    lag = followers.join(F.broadcast(ends))  # one row
-    first = F.greatest(F.col("last_index") + 1, F.col("_first"))
-    return lag.where(F.col("last_index") < F.col("_last")).select("follower", (F.col("_last") - first + 1).cast("long").alias("n_missing"), first.cast("long").alias("first_missing"), F.col("_last").cast("long").alias("last_missing"))
+    placed = global_index(log.select(F.col(index).cast("long").alias("_at")), ["_at"], "_nth", first=1)
+    ends = placed.agg(F.max("_nth").alias("_all"), F.max("_at").alias("last_missing"))
+    behind = _places(placed, followers)
+    first = behind.join(placed, F.col("_place") + 1 == F.col("_nth")).join(F.broadcast(ends))  # one row
+    return first.select("follower", (F.col("_all") - F.col("_place")).alias("n_missing"), F.col("_at").alias("first_missing"), "last_missing")
+
+
+def _places(placed: DataFrame, followers: DataFrame) -> DataFrame:
+    """followers with _place, how many entries stand at or before their last index."""
+    kind = followers.schema["follower"].dataType
+    own = followers.select(F.col("last_index").cast("long").alias("_at"), F.lit(2).alias("_side"), F.lit(None).cast("long").alias("_nth"), "follower")
+    both = placed.select("_at", F.lit(1).alias("_side"), F.col("_nth").cast("long"), F.lit(None).cast(kind).alias("follower")).unionByName(own)
+    return last_before(both, ["_at", "_side"], "_nth", "_place").where("_side = 2").select("follower", F.coalesce("_place", F.lit(0)).alias("_place"))
+
+
+def resend(log: DataFrame, followers: DataFrame, index: str, slice_rows: int = 1 << 16) -> DataFrame:
+    """follower and the log's columns: the entries that each follower (follower, last_index) lacks, which a leader sends after a refusal.
+
+    A follower's stretch of places is cut into slices and met slice by slice, an
+    equi-join whose rows are the result's.
+    """
+    placed = global_index(log.withColumn("_at", F.col(index).cast("long")), ["_at"], "_nth", first=1).withColumn("_slice", F.expr(f"_nth div {slice_rows}"))
+    last = placed.agg(F.max("_nth").alias("_all"))
+    behind = _places(placed.select("_at", "_nth"), followers).join(F.broadcast(last)).where("_place < _all")  # one row
+    slices = behind.select("follower", "_place", F.explode(F.expr(f"sequence((_place + 1) div {slice_rows}, _all div {slice_rows})")).alias("_slice"))
+    return slices.join(placed, "_slice").where("_nth > _place").select("follower", *log.columns)
+
+
+def log_ends(log: DataFrame, index: str) -> DataFrame:
+    """One row: size and last_index (-1 of an empty log)."""
+    return log.agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.max(index).cast("long"), F.lit(-1).cast("long")).alias("last_index"))
 
 
 def entries_between(log: DataFrame, index: str, start: int, end: int | None = None) -> DataFrame:
@@ -85,20 +159,26 @@ def members_at(joins: DataFrame, node: str, joined_seq: str, seq: int) -> DataFr
     return joins.where(F.col(joined_seq) <= seq).select(node).distinct()
 
 
-def _follower_start() -> tuple[int, int]:
-    return 0, -1
+def _follower_start() -> int:
+    return 0
 
 
-def _follower_step(state: tuple[int, int], args: tuple) -> tuple[tuple[int, int], bool]:
-    (size, commit), (n, commit_sent) = state, args
-    if size + n != commit + 2:
-        return state, False
-    return (size + n, commit_sent), True
+def _follower_step(size: int, args: tuple) -> tuple[int, dict]:
+    n, commit_sent = args
+    ok = size + n == commit_sent + 2
+    size += n if ok else 0
+    return size, {"accepted": ok, "last_index": size - 1}
 
 
-def follow(requests: DataFrame, follower: str, seq: str, n_entries: str, commit: str, out: str = "accepted") -> DataFrame:
-    """Append requests with accepted: a follower takes one iff its log then has one entry more than it has committed, and adopts the sender's index."""
-    return fold(requests, [follower], [seq], [n_entries, commit], _follower_start, _follower_step, out, "boolean")
+def follow(requests: DataFrame, follower: str, seq: str, n_entries: str, commit: str) -> DataFrame:
+    """Append requests with accepted and last_index, the follower's after it.
+
+    A follower takes a request iff its log then has one entry more than the sender
+    has committed (the request's commit index + 1 entries); else it answers where
+    its log ends, from which the sender starts again.
+    """
+    run = fold(requests, [follower], [seq], [n_entries, commit], _follower_start, _follower_step, "_answer", "accepted boolean, last_index long")
+    return run.select(*requests.columns, "_answer.*")
 
 
 def role_changes(events: DataFrame, node: str, seq: str, role: Column) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
-from ..functions.scalars import stripe
+from ..functions.scalars import hashed_stripe, stripe
 from .ordered import fold, prefix_sum
 
 #: A lease without a stated length: 131 years in milliseconds.
@@ -42,8 +43,9 @@ def lease_lock(log: DataFrame, key: str, t_ms: str, seq: str, unlock: str, lease
 
 
 def stripes(log: DataFrame, key: str, n: int) -> DataFrame:
-    """For each stripe: the distinct keys that share it and their calls."""
-    return log.groupBy(stripe(F.col(key), n).alias("stripe")).agg(F.countDistinct(key).alias("n_keys"), F.count(F.lit(1)).alias("n_calls"))
+    """For each stripe: the distinct keys that share it and their calls. Integers are their own hash."""
+    own = stripe if isinstance(log.schema[key].dataType, IntegralType) else hashed_stripe
+    return log.groupBy(own(F.col(key), n).alias("stripe")).agg(F.countDistinct(key).alias("n_keys"), F.count(F.lit(1)).alias("n_calls"))
 
 
 def queue_depth(log: DataFrame, key: str, seq: str, change: Column, out: str = "depth") -> DataFrame:

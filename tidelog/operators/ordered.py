@@ -18,8 +18,16 @@ def prefix_sum(df: DataFrame, group: list[str], order: str, value: Column, out:
 
     A group is cut into slices of `width` order values; a window runs inside
     each slice and the sums of the slices before are added, so a group that
-    holds the whole log is still many windows.
+    holds the whole log is still many windows. Without a group, the slices are
+    ranges of the rows, a row a partition meets in one task, however far apart
+    the order values lie.
     """
+    if not group:
+        r = ranged(df.withColumn("_v", value), [order])
+        sums = r.groupBy("_pid").agg(F.sum("_v").alias("_s"))
+        starts = sums.select("_pid", F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        inside = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return r.withColumn("_in", F.sum("_v").over(inside)).join(F.broadcast(starts), "_pid").withColumn(out, F.col("_before") + F.coalesce("_in", F.lit(0))).drop("_pid", "_v", "_in", "_before")
     sliced = df.withColumn("_slice", F.floor(F.col(order) / width)).withColumn("_v", value)
     sums = sliced.groupBy(*group, "_slice").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

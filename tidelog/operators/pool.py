@@ -18,7 +18,7 @@ class Pool:
         self.workers = workers
 
     def start(self) -> list:
-        return [(0, i) for i in range(self.workers)]
+        return [(-(1 << 62), i) for i in range(self.workers)]  # free before any task
 
     def step(self, free: list, args: tuple) -> tuple[list, dict]:
         at, takes = args

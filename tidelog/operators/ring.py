@@ -38,11 +38,19 @@ def segments(ring: DataFrame, low: int, high: int, bits: int, node: str = "node_
     return own.unionByName(wrap).where("lo < hi").withColumn("_cell", F.explode(F.sequence(cell(F.col("lo") + 1), cell(F.col("hi")))))
 
 
-def route(keys: DataFrame, ring: DataFrame, hashed: Column, low: int = 0, high: int = 2**32 - 1, bits: int = 24, node: str = "node_key") -> DataFrame:
+def route(keys: DataFrame, ring: DataFrame, hashed: Column, low: int = 0, high: int = 2**32 - 1, bits: int | None = None, node: str = "node_key") -> DataFrame:
     """keys with their node. An equi-join on the hash's cell, then the stretch: a few rows a key are compared, not the ring.
 
+    There are about as many cells as places on the ring, 256 at least. Reading a
+    key raises on an empty ring; a null hash has a null node.
+
     The ring is small by nature (nodes x replicas); Spark broadcasts it by its
     measured size, or shuffles it by cell.
     """
+    if bits is None:
+        bits = max(0, (high - low).bit_length() - max(8, ring.count().bit_length()))
     k = keys.withColumn("_h", hashed).withColumn("_cell", F.shiftright("_h", bits))
-    return k.join(segments(ring, low, high, bits, node), "_cell").where("_h > lo AND _h <= hi").drop("_cell", "_h", "lo", "hi")
+    s = segments(ring, low, high, bits, node).withColumnRenamed(node, "_node").withColumnRenamed("_cell", "_at")
+    met = k.join(s, (F.col("_cell") == F.col("_at")) & (F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi")), "left")
+    lost = F.raise_error(F.lit("the ring has no node for a key")).cast(ring.schema[node].dataType)
+    return met.select(*keys.columns, F.when(F.col("_node").isNull() & F.col("_h").isNotNull(), lost).otherwise(F.col("_node")).alias(node))

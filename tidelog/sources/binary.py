@@ -86,9 +86,19 @@ def _command(data: bytes, at: int) -> tuple[tuple, int]:
     return ("SET", body[:k].decode(), body[k:].decode()), at + 6 + k + v
 
 
-def _read(spark: SparkSession, path: str, one: Callable, schema: str, on_truncated: str) -> DataFrame:
+#: Decoders by format: one record at a byte -> (its columns, the byte after it); and the schema.
+CODECS: dict[str, tuple[Callable, str]] = {"kv": (_kv, KV), "index": (_entry, ENTRY), "wal": (_command, COMMAND)}
+
+
+def decode(files: DataFrame, codec: str, on_truncated: str = "fail", verify: bool = False, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, content) rows, a whole file each, to the records of a codec; one row a record, seq its first byte.
+
+    With verify, a kv record whose value doesn't fit its checksum raises in the
+    decoder, whatever columns are read.
+    """
     if on_truncated not in ("fail", "drop"):
         raise ValueError("on_truncated is fail or drop")
+    one, schema = CODECS[codec]
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     types = [kinds[f.split()[1]] for f in schema.split(", ")]
@@ -104,6 +114,8 @@ def _read(spark: SparkSession, path: str, one: Callable, schema: str, on_truncat
                         if on_truncated == "fail":
                             raise
                         break
+                    if verify and not row[-1]:
+                        raise ValueError(f"checksum mismatch in the record at byte {at} of {file}")
                     rows.append((file, at, *row))
                     at = after
                     if len(rows) == 10_000 or at == len(data):
@@ -112,18 +124,32 @@ def _read(spark: SparkSession, path: str, one: Callable, schema: str, on_truncat
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
+
+
+def file_of(records: DataFrame, file: str, order: list[str], record: str) -> DataFrame:
+    """(file, content): encoded records side by side in order, a file a row; a file stays below 2 GB in this layout."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.hex(record).alias("_hex")))), lambda r: r["_hex"])
+    return records.groupBy(file).agg(F.unhex(F.array_join(parts, "")).alias("content"))
+
+
+def record_at(files: DataFrame, index: DataFrame, on: str, offset: str = "record_offset", size: str = "record_size", content: str = "content") -> DataFrame:
+    """index rows with record, the bytes that (offset, size) point to in their file."""
+    return index.join(files, on).withColumn("record", F.substring(F.col(content), F.col(offset) + 1, F.col(size))).drop(content)
+
+
+def _read(spark: SparkSession, path: str, codec: str, on_truncated: str, verify: bool = False) -> DataFrame:
+    return decode(spark.read.format("binaryFile").load(path), codec, on_truncated, verify)
 
 
 def read_kv(spark: SparkSession, path: str, verify: bool = True, on_truncated: str = "fail") -> DataFrame:
-    """Records of a data file; with verify, reading one whose value doesn't fit its checksum raises, else ok says so."""
-    out = _read(spark, path, _kv, KV, on_truncated)
-    return out.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.lit("checksum mismatch")).cast("boolean"))) if verify else out
+    """Records of a data file; with verify, one whose value doesn't fit its checksum raises on any read of the file, else ok says so."""
+    return _read(spark, path, "kv", on_truncated, verify)
 
 
 def read_index(spark: SparkSession, path: str, on_truncated: str = "fail") -> DataFrame:
-    return _read(spark, path, _entry, ENTRY, on_truncated)
+    return _read(spark, path, "index", on_truncated)
 
 
 def read_wal(spark: SparkSession, path: str, on_truncated: str = "fail") -> DataFrame:
-    return _read(spark, path, _command, COMMAND, on_truncated)
+    return _read(spark, path, "wal", on_truncated)

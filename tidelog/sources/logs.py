@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -10,6 +11,11 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream to the log at path, each micro-batch whole or not at all; checkpoint keeps how far it has come."""
+    return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").start(path)
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the log; order is in its seq column, not in the files."""
     return spark.read.parquet(path)
