@@ -111,3 +111,32 @@ def test_odd_rows(spark):
     got = [(r.page_id, r.text[:4], r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert sorted(got, key=repr) == sorted([(1, "", 0), (None, "x", 1), (2, "", 0), (2, "", 0), (3, "deep", 4), (4, "w w ", 399_999)], key=repr)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_odd_pages_take_linear_time():
+    """A megabyte of what is no tag, of unclosed quotes, or of nesting is parsed in seconds."""
+    import time
+
+    for piece in ("<a ", "<a x=\"", "<a x='\" ", "<div>", "<b>", "<div class=sidebar><p>x", "<article>", "<p><b>", "<!-", "<![", "<textarea>", "</i>"):
+        began = time.time()
+        Page(piece * (1_000_000 // len(piece))).best()
+        assert time.time() - began < 15, piece
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<li>x" * 100_000):
+        began = time.time()
+        Page(page).best()
+        assert time.time() - began < 15, page[-9:]
+
+
+def test_quotes_of_attributes():
+    assert main("<p title=it's>x</p><p title=\"a>b\">y</p><p title='z>w' data-x=5'>z</p>") == "x\ny\nz"
+    assert main("<div class='werbung'><p>no</p></div><p>Text of the page.</p><div id=kommentare><p>no</p></div>") == "Text of the page."
+
+
+def test_many_templates_of_a_host(spark):
+    """Each of five templates that a host's pages share wins, not only the three of most votes."""
+    page = "<body><div class='{}'><p>{}</p></div><div class='{}'><p>other box</p></div></body>"
+    names = ["one", "two", "three", "four", "five"]
+    rows = [(10 * k + i, f"http://h.example/{k}/{i}", page.format(f"main{n}x {n}", "many words of text " * 20, "side-" + n)) for k, n in enumerate(names) for i in range(6 - k)]
+    rows += [(1000, "http://h.example/x", page.format("mainfourx four", "short but here", "side-four"))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1000] == "short but here"

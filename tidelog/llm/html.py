@@ -7,8 +7,8 @@ extracted again from all its containers on the first of its host's winning paths
 that holds half of its running text, or from its own best where none does. For a
 vote, the containers of one name that hold seven tenths of the text around them
 are gone down into; a page's own best is its articles (or main) of one path with
-half of the text, or what holds all of it. A path wins with two pages' votes. What
-a page has beside its host's path, or its articles, is not main text.
+half of the text, or what holds all of it. A path wins with two pages' votes, if
+that is one in a thousand of its host's. What a page has beside its host's path, or its articles, is not main text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and the
 like are told by tag, role and the words of class and id, and are left out
@@ -31,11 +31,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+#: Where a tag may end, or a quoted value begin.
+TURN = re.compile(r"=\s*[\"']|>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -58,11 +61,11 @@ IMPLIED = {
 OUT_TAGS = frozenset("head nav footer aside form button label fieldset dialog menu search".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 OUT_WORDS = frozenset(
-    "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising alert alerts announcement announcements aside banner breadcrumb breadcrumbs colophon comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus drawer footer gdpr googleads login masthead menu modal nav navbar navi navigation newsletter notice notices notification notifications offcanvas offer offers outbrain overlay pager pagination paywall popular popup promo promoted promotion rail recommendations recommended related replies reply respond responses share sharebar sharing sidebar sidenav signin signup skyscraper social sponsor sponsored sponsors subscribe subscription taboola tagline teaser teasers thread threads toolbar topbar trending ugc widget widgets".split()
+    "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising alert alerts announcement announcements aside banner breadcrumb breadcrumbs colophon comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus drawer footer gdpr googleads login masthead menu modal nav navbar navi navigation newsletter notice notices notification notifications offcanvas offer offers outbrain overlay pager pagination paywall popular popup promo promoted promotion rail recommendations recommended related replies reply respond responses share sharebar sharing sidebar sidenav signin signup skyscraper social sponsor sponsored sponsors subscribe subscription taboola tagline teaser teasers thread threads toolbar topbar trending ugc widget widgets werbung anzeige anzeigen kommentar kommentare fusszeile seitenleiste publicite commentaire commentaires publicidad comentario comentarios pubblicita commenti".split()
 )
 #: Of these, words that never name an article: what they mark is kept only where a page has no running text besides.
 NEVER_WORDS = frozenset(
-    "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus footer gdpr googleads login masthead newsletter notice notices notification notifications outbrain pager pagination paywall popup replies reply respond responses signin signup skyscraper subscribe subscription taboola ugc".split()
+    "ad ads adbanner adbox adsbygoogle adsense adslot adunit adv advert adverts advertisement advertising breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright crumbs cta disclaimer discussion discussions disqus footer gdpr googleads login masthead newsletter notice notices notification notifications outbrain pager pagination paywall popup replies reply respond responses signin signup skyscraper subscribe subscription taboola ugc werbung anzeige anzeigen kommentar kommentare publicite commentaire commentaires publicidad comentario comentarios pubblicita commenti".split()
 )
 #: Classes that name what an article is about; they stand beside other classes.
 SUBJECT = re.compile(r"(?:category|categories|cat|tag|tags|topic|term)[-_]", re.I)
@@ -74,6 +77,31 @@ LINKED = 0.6
 HOLDS = 0.7
 
 
+def marks(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, past the end, "/" or "", tag or "", attributes) of tags, comments and declarations; every character is looked at a few times at most."""
+    at, unclosed = 0, set()  # quotes that don't come again
+    while m := MARK.search(source, at):
+        begin, at = m.start(), m.end()
+        if m[2] is None:
+            comment = source.startswith("<!--", begin)
+            end = source.find("-->" if comment else ">", at)
+            if end < 0 and not comment:
+                return
+            at = len(source) if end < 0 else end + (3 if comment else 1)
+            yield begin, at, "", "", ""
+            continue
+        look = at
+        while (turn := TURN.search(source, look)) and (quote := turn[0][-1]) != ">":
+            close = -1 if quote in unclosed else source.find(quote, turn.end())
+            if close < 0:
+                unclosed.add(quote)
+            look = turn.end() if close < 0 else close + 1
+        if not turn:
+            return
+        at = turn.end()
+        yield begin, at, m[1], m[2].lower(), source[m.end() : at - 1]
+
+
 class Page:
     """Nodes as parallel lists, blocks of text in page order."""
 
@@ -85,24 +113,28 @@ class Page:
         self.link = 0
         self.linked = 0
         self.aside: dict[int, tuple[list[str], int]] = {}  # text before an element inside a block that is left out
-        stack = [0]
-        at, raw = 0, source
-        for m in TAG.finditer(source):
-            if m.start() < at:
+        self.depths: dict[str, list[int]] = {}  # of the open elements of a tag
+        self.blocks_at: list[int] = []  # depths of the open blocks
+        self.key = [0]  # of the path of containers down to the node
+        stack, endless = [0], set()  # tags of raw text without an end from here on
+        at = 0
+        for begin, end, slash, tag, attributes in marks(source):
+            if begin < at:
                 continue
-            if m.start() > at:
-                self.say(raw[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
+            if begin > at:
+                self.say(source[at:begin])
+            at = end
             if not tag:
                 continue
-            if m[1]:
+            if slash:
                 self.close(tag, stack)
             else:
-                self.open(tag, m[3], stack)
-                if tag in RAW and not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-                    at = end.start() if end else len(source) if tag in ("script", "style") else at
+                self.open(tag, attributes, stack)
+                if tag in RAW and not attributes.endswith("/") and tag not in endless:
+                    close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+                    if not close:
+                        endless.add(tag)
+                    at = close.start() if close else len(source) if tag in ("script", "style") else at
         if at < len(source):
             self.say(source[at:])
         while len(stack) > 1:
@@ -138,21 +170,18 @@ class Page:
         if tag in CLOSES_P:
             ends, beyond = {*ends, "p"}, {*beyond, "td", "th", "button", "div", "section", "article", "li", "body"} - {tag if tag == "li" else ""}
         if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[depth]]
-                if t in ends:
-                    self.pop_inline(depth, stack) if tag in SPACED else self.pop_to(depth, stack)
-                    if tag not in ("tr", "li"):
-                        break
-                elif t in beyond:
-                    break
+            wall = max((self.depths[t][-1] for t in beyond if self.depths.get(t)), default=0)
+            open_ = [d[-1] for t in ends if t not in beyond and (d := self.depths.get(t)) and d[-1] > wall]
+            if open_:  # a row ends its cell, and an item its paragraph, with the row or the item around
+                depth = min(open_) if tag in ("tr", "li") else max(open_)
+                self.pop_inline(depth, stack) if tag in SPACED else self.pop_to(depth, stack)
         if tag in BLOCKS:
             self.flush(stack[-1])
         elif tag == "a":
             self.link = 1
         parent, node = stack[-1], len(self.tag)
         name, out = tag, self.out[parent] or tag in RAW or tag in OUT_TAGS
-        within = any(self.tag[i] in ("article", "main") for i in stack)
+        within = bool(self.depths.get("article") or self.depths.get("main"))
         if tag == "header" and not within:
             out = True
         if attributes and (tag in BLOCKS or not out):
@@ -174,6 +203,11 @@ class Page:
         self.name.append(name)
         self.out.append(out)
         self.title.append(tag == "h1" and not out)
+        own = tag in CONTAINERS and tag != "html"
+        self.key.append(xxhash.xxh64_intdigest(name.encode(), self.key[parent]) if own else self.key[parent])
+        self.depths.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            self.blocks_at.append(len(stack))
         stack.append(node)
         if (out and not self.out[parent] or node in self.marked) and tag not in BLOCKS:
             self.aside[node] = self.text, self.linked
@@ -182,21 +216,19 @@ class Page:
     def close(self, tag: str, stack: list[int]) -> None:
         if tag in VOID:
             return
-        block = tag in BLOCKS
-        for depth in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[depth]]
-            if t == tag:
-                self.pop_to(depth, stack) if block else self.pop_inline(depth, stack)
-                return
-            if not block and t in BLOCKS:
-                break  # an inline end tag doesn't reach beyond its block
-        if block:
+        block, open_ = tag in BLOCKS, self.depths.get(tag)
+        if open_ and (block or open_[-1] > (self.blocks_at[-1] if self.blocks_at else 0)):  # an inline end tag doesn't reach beyond its block
+            self.pop_to(open_[-1], stack) if block else self.pop_inline(open_[-1], stack)
+        elif block:
             self.flush(stack[-1])
 
     def pop_inline(self, depth: int, stack: list[int]) -> None:
         """Leaves elements without ending the block; the text before one that is left out goes on after it."""
         while len(stack) > depth:
             node = stack.pop()
+            self.depths[self.tag[node]].pop()
+            if self.tag[node] in BLOCKS:
+                self.blocks_at.pop()
             if self.tag[node] == "a":
                 self.link = 0
             if node in self.aside:
@@ -208,8 +240,9 @@ class Page:
         if not self.marked:
             return
         hard, kept, titles = self.out, *self.weigh()
+        most = frozenset(i for i, never in self.marked.items() if not never and 2 * kept[i] > kept[0])
         for lift in (frozenset(), frozenset(i for i, never in self.marked.items() if not never), frozenset(self.marked)):
-            free = set(lift)  # marked nodes that stay
+            free = set(lift | most)  # marked nodes that stay
             while True:
                 self.out = list(hard)
                 top = []  # of marked nodes, the outermost
@@ -221,11 +254,9 @@ class Page:
                         top.append(node)
                 rest, left = self.weigh()
                 articles = any(self.tag[i] == "article" and not self.out[i] and rest[i] for i in range(1, len(self.tag)))
-                stay = [
-                    i
-                    for i in top
-                    if not self.marked[i] and (2 * kept[i] > kept[0] or (titles[i] and not left[0] and kept[i] > titles[i]) or (self.tag[i] == "article" and not articles and not self.within(i)))
-                ]
+                stay = [i for i in top if not self.marked[i] and self.tag[i] == "article" and not articles and not self.within(i)]
+                if not left[0]:  # with all that hold the title
+                    stay += [i for i, never in self.marked.items() if not never and i not in free and titles[i] and kept[i] > titles[i]]
                 if not stay:
                     break
                 free.update(stay)
@@ -269,10 +300,10 @@ class Page:
                 children.setdefault(self.parent[node], []).append(node)
         found = {}
         for weight, tags in ((1.0, ("article",)), (0.9, ("main",))):
-            paths: dict[str, list[int]] = {}
+            paths: dict[int, list[int]] = {}
             for i in range(1, len(self.tag)):
                 if self.tag[i] in tags and kept[i] and not self.out[i]:
-                    paths.setdefault(self.path(i), []).append(i)
+                    paths.setdefault(self.key[i], []).append(i)
             if paths:
                 group, inside = max(((tuple(g), sum(kept[i] for i in g)) for g in paths.values()), key=lambda x: (x[1], -x[0][0]))
                 if 2 * inside >= kept[0]:
@@ -296,15 +327,18 @@ class Page:
         found.setdefault(group, 0.8)
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
-    def at(self, path: str) -> tuple[int, ...] | None:
-        """All nodes on the path, if they hold half of the running text."""
-        last = path.rpartition(">")[2]
-        nodes = tuple(i for i in range(1, len(self.tag)) if self.name[i] == last and not self.out[i] and self.path(i) == path)
-        if not nodes:
-            return None
+    def on(self, keys: list[int]) -> tuple[int, ...] | None:
+        """All nodes on the first path that holds half of the running text."""
+        found: dict[int, list[int]] = {key: [] for key in keys}
+        for i in range(1, len(self.tag)):
+            if not self.out[i] and self.key[i] in found and self.tag[i] in CONTAINERS and self.tag[i] != "html":
+                found[self.key[i]].append(i)
         kept = self.weigh()[0]
-        inside = sum(kept[i] for i in nodes)
-        return nodes if 2 * inside >= kept[0] and inside else None
+        for key in keys:
+            inside = sum(kept[i] for i in found[key])
+            if inside and 2 * inside >= kept[0]:
+                return tuple(found[key])
+        return None
 
     def main_text(self, nodes: tuple[int, ...]) -> str:
         inside, tops = [False] * len(self.tag), set(nodes)
@@ -315,14 +349,14 @@ class Page:
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, path, vote = [], [], []
+        host, key, vote = [], [], []
         for h, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(source or "")
-            for one, score in {page.path(nodes[0]): score for nodes, score in reversed(page.best(HOLDS))}.items():
+            for one, score in {page.key[nodes[0]]: score for nodes, score in reversed(page.best(HOLDS))}.items():
                 host.append(h)
-                path.append(one)
+                key.append(one - (1 << 64) if one >> 63 else one)
                 vote.append(round(1000 * score))
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(vote, pa.int64())], ["host", "path", "vote"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(vote, pa.int64())], ["host", "key", "vote"])
 
 
 def extractor(keep: list[str]):
@@ -331,10 +365,7 @@ def extractor(keep: list[str]):
             texts, used = [], []
             for source, paths in zip(batch.column("_html").to_pylist(), batch.column("_paths").to_pylist(), strict=True):
                 page = Page(source or "")
-                nodes = None
-                for path in paths or ():
-                    if (nodes := page.at(path)) is not None:
-                        break
+                nodes = page.on([p % (1 << 64) for p in paths or ()])
                 nodes = page.best()[0][0] if nodes is None else nodes
                 texts.append(page.main_text(nodes))
                 used.append(page.path(nodes[0]))
@@ -344,15 +375,17 @@ def extractor(keep: list[str]):
     return run
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", winners: int = 3) -> DataFrame:
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_col: str = "url", html_col: str = "html") -> DataFrame:
     """keep, text, n_chars, path: one row a page."""
+    common.bounded(pages)
     keep = list(keep)
     host = F.lower(F.regexp_replace(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1), F.lit("")), r"^www\.", ""))
     rows = pages.select(*keep, host.alias("host"), F.col(html_col).alias("_html"))
-    counted = rows.select("host", F.col("_html").alias("html")).mapInArrow(votes, "host string, path string, vote long")
-    sums = counted.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.count(F.lit(1)).alias("voters")).where("voters > 1")  # one page is no consensus
-    nth = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("vote"), "path"))
-    won = sums.withColumn("nth", nth).where(F.col("nth") <= winners).groupBy("host").agg(F.expr("transform(array_sort(collect_list(struct(nth, path))), x -> x.path)").alias("_paths"))
+    counted = rows.select("host", F.col("_html").alias("html")).mapInArrow(votes, "host string, key long, vote long")
+    sums = counted.groupBy("host", "key").agg(F.sum("vote").alias("vote"), F.count(F.lit(1)).alias("voters"))
+    # one page is no consensus; nor is, on a large host, one in a thousand, so a host has some thousand templates at most
+    big = sums.groupBy("host").agg(F.sum("voters").alias("all"))
+    won = sums.where("voters > 1").join(big, "host").where("voters * 1000 >= all").groupBy("host").agg(F.expr("transform(array_sort(collect_list(struct(-vote, key))), x -> x.key)").alias("_paths"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     hosts = common.checkpointed(sizes.join(won, "host", "left"))
     total = hosts.agg(F.sum("pages")).first()[0] or 0
