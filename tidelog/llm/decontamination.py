@@ -1,12 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, with DataFrame functions only.
 
-Test items are partitioned by their number of shingles. An item of q distinct
-shingles keeps as its sketch the m smallest shingle hashes, m fixed by the size
-partition so that m = q - ceil(t * q) + 1: a document that holds a share t of
-the item misses at most m - 1 of its shingles and so hits the sketch. Documents
-of any length are searched whole through the sketches alone. Pairs that hit are
-candidates; their documents are read once more and verified by exact containment
-over all of the item's shingles. Nothing is approximate.
+Test items are partitioned by their number of distinct shingles, from a power of
+two to the next. An item's sketch is its bottom-m MinHash: its m smallest shingle
+hashes, m fixed by the size partition as twice the shingles that its largest item
+may miss, and one more. A document that holds a share t of an item of q shingles
+misses q - ceil(t * q) of them at most, and so has all but as many hashes of the
+sketch: that many hits make a candidate. Documents of any length are searched
+whole through the sketches alone, in one pass for shingles of all widths; the
+candidates' documents are read once more and verified by exact containment over
+all of the item's shingles. Nothing is approximate.
 
 Words are lower-cased (A-Z); a shingle is five words. An item of fewer words is
 one shingle of all its words.
@@ -40,38 +42,37 @@ def shingles(w: str, n: int) -> str:
 
 
 def item_index(items: DataFrame, item_col: str, text_col: str, n: int = WORDS, share: float = SHARE) -> DataFrame:
-    """item, width, q (distinct shingles), need (shingles that make `share`), h, sketch (whether h is in the item's sketch)."""
+    """item, width, q (distinct shingles), need (shingles that make `share`), h, sketch (whether h is in the item's sketch), least (hits in the sketch that make a candidate)."""
     short = "CASE " + " ".join(f"WHEN size(w) = {k} THEN {shingles('w', k)}" for k in range(1, n)) + f" ELSE {shingles('w', n)} END"
     one = items.select(F.col(item_col).alias("item"), F.expr(words(text_col)).alias("w")).withColumn("item_row", F.monotonically_increasing_id())
     one = one.where("size(w) > 0").select("item", F.expr(f"least(size(w), {n})").alias("width"), F.expr(f"array_sort({short})").alias("hs"))
     one = one.dropDuplicates(["item", "hs"]).withColumn("q", F.size("hs")).withColumn("need", F.ceil(F.col("q") * F.lit(share) - F.lit(1e-9)).cast("int"))
-    return one.withColumn("key", F.xxhash64("item", "hs")).select("item", "key", "width", "q", "need", F.posexplode("hs").alias("nth", "h")).withColumn("sketch", F.expr("nth < q - need + 1")).drop("nth")
+    largest = F.expr("cast(2 * pow(2, floor(log2(q))) - 1 as int)")  # of the item's size partition
+    m = F.least(F.col("q"), 2 * (largest - F.ceil(largest * F.lit(share) - F.lit(1e-9)).cast("int")) + 1)
+    one = one.withColumn("m", m).withColumn("least", F.col("m") - (F.col("q") - F.col("need")))
+    return one.withColumn("key", F.xxhash64("item", "hs")).select("item", "key", "width", "q", "need", "least", F.posexplode("hs").alias("nth", "h"), "m").withColumn("sketch", F.expr("nth < m")).drop("nth", "m")
 
 
 def shared(texts: DataFrame, index: DataFrame, widths: list[int], n: int) -> DataFrame:
     """(doc, h, key and what else index has): the shingles of texts (doc, text) that stand in index."""
     small = index.count() <= BROADCAST_ROWS
     text = texts.select("doc", F.expr(words("text")).alias("w"))
-    found = None
-    for k in widths or [n]:
-        own = index.where(F.col("width") == k).drop("width")
-        grams = text.select("doc", F.explode(F.expr(shingles("w", k))).alias("h"))
-        hits = grams.join(F.broadcast(own) if small else own, "h")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    every = ", ".join(f"transform({shingles('w', k)}, h -> struct(h, {k} as width))" for k in widths or [n])
+    grams = text.select("doc", F.explode(F.expr(f"flatten(array({every}))")).alias("g")).select("doc", "g.h", "g.width")
+    return grams.join(F.broadcast(index) if small else index, ["h", "width"]).drop("width")
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
     """id_col, item_col, hits, item_shingles, containment: the pairs in which a document holds at least `share` of an item."""
     index = common.checkpointed(item_index(items, item_col, item_text, n, share))
     widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most n values
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    candidates = common.checkpointed(shared(texts, index.where("sketch").select("width", "h", "key"), widths, n).select("doc", "key").distinct())
+    texts = common.bounded(docs).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    candidates = common.checkpointed(shared(texts, index.where("sketch").select("width", "h", "key", "least"), widths, n).groupBy("doc", "key").agg(F.countDistinct("h").alias("hits"), F.first("least").alias("least")).where("hits >= least").select("doc", "key"))
     few = candidates.count() <= BROADCAST_ROWS
     dealt = lambda right: F.broadcast(right) if few else right.hint("shuffle_hash")
     # only texts with a candidate are read as words again, before anything is made of them
     own = texts.alias("t").join(dealt(candidates.select("doc").distinct()).alias("c"), F.expr("t.doc <=> c.doc"), "left_semi")
-    hits = shared(own, index.drop("sketch"), widths, n).alias("t").join(dealt(candidates).alias("c"), F.expr("t.doc <=> c.doc AND t.key = c.key"), "left_semi")
+    hits = shared(own, index.drop("sketch", "least"), widths, n).alias("t").join(dealt(candidates).alias("c"), F.expr("t.doc <=> c.doc AND t.key = c.key"), "left_semi")
     pairs = hits.groupBy("doc", "item", "key").agg(F.countDistinct("h").alias("hits"), F.first("q").alias("q"), F.first("need").alias("need"))
     best = pairs.where("hits >= need").groupBy("doc", "item").agg(F.max(F.struct((F.col("hits") / F.col("q")).alias("c"), "hits", "q")).alias("b"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("b.hits").cast("long").alias("hits"), F.col("b.q").cast("long").alias("item_shingles"), F.col("b.c").alias("containment"))
