@@ -180,12 +180,12 @@ def verify(kind: str, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs.whole_runs(batches, "key"):
             cols = {c: table.column(c).to_numpy() for c in ("key", "cell", "tag", "label", "weight", "block", "apart")}
-            vec = table.column("vec")
+            vec = table.column("vec").to_pylist()
             out_a, out_b, out_n = [], [], []
             for first, past in zip(*runs.bounds(cols["key"]), strict=True):
                 if past - first < 2:
                     continue
-                raw = [v.as_py() for v in vec[first:past]]
+                raw = vec[first:past]
                 size = np.array([len(v) for v in raw])
                 for cell, dim in set(zip(cols["cell"][first:past].tolist(), size.tolist(), strict=True)):
                     some = np.flatnonzero((cols["cell"][first:past] == cell) & (size == dim))
